@@ -8,9 +8,10 @@ At a Jaccard similarity of 0.75, 96 symbols differ in 24 on average (deviation 4
 in a million that lie exactly on the threshold.
 
 Groups are never expanded into all pairs. Texts with equal sets are one class. Within a key's group, members are first tried
-against the group's smallest and then its largest member; only members still in different components are then paired,
-completely, so that no link that could join two components is lost. A key's group holds at most one in `symbols` of all key
-rows, whatever the data.
+against the member that shares most keys with others (the text that the group's copies come from, as a rule) and then, where
+components still differ, against the smallest. What is then left in several components is compared exactly by prefixes of the
+sets, so that no link that could join two components is lost. A key's group holds at most one in `symbols` of all key rows,
+whatever the data.
 
 Defined results: null and empty texts have an empty set, are linked with nothing and kept; fewer than five words form one
 shingle; repeated rows give a row each (rows with equal ids share a component); null ids get a null component and are kept;
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,10 +48,10 @@ def shingle_sets(texts: pa.Array, size: int = SIZE) -> list[np.ndarray]:
         if n >= size:
             out.append(np.unique(gram[first[i] : first[i + 1]]))
         elif n:
-            whole = np.uint64(n)
+            whole = np.array([n], np.uint64)
             for x in h[words.first[i] : words.first[i + 1]]:
-                whole = mix(np.array([whole * np.uint64(0x9FB21C651E98DF25) + x]))[0]
-            out.append(np.array([whole]))
+                whole = mix(whole * np.uint64(0x9FB21C651E98DF25) + x)
+            out.append(whole)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -168,6 +170,41 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def overlaps(open_: DataFrame, sets: DataFrame, percent: int, step: float = 1.05) -> DataFrame:
+    """Pairs (a, b) of different roots that may reach the similarity, by prefixes of their sets; none that does is left out.
+
+    Ordered by rarity, two sets of sizes m and n with at least i = percent * (m + n) / (100 + percent) common shingles share one
+    within the first m - i + 1 and n - i + 1. Sizes fall into classes a few percent wide; a set emits, for each class that a
+    partner may have, the prefix that the class' smallest size asks for.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = np.frombuffer(batch.column(2)[i].as_py(), np.int64)
+                n = len(x)
+                whole = [pa.array(np.full(n, batch.column(k)[i].as_py(), np.int64)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*whole, pa.array(x), pa.array(np.full(n, n, np.int64))], names=["doc_id", "root", "shingle", "size"])
+
+    rows = materialise(open_.join(sets, "doc_id").select("doc_id", "root", "shingles").mapInArrow(spread, "doc_id long, root long, shingle long, size long"), "rows")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    ranked = rows.join(often, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle")))
+    ranked = ranked.filter((F.col("lo") < F.col("hi")) & (F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1))
+    width = math.log(step)
+    own = F.floor(F.log("size") / width)
+    low = F.floor(F.log(F.col("size") * percent / 100) / width) - 1
+    high = F.floor(F.log(F.col("size") * 100 / percent) / width) + 1
+    wide = ranked.select("doc_id", "root", "shingle", "size", "place", own.alias("own"), F.explode(F.sequence(low, high)).alias("other"))
+    least = F.greatest(F.col("size") * percent / 100, F.pow(F.lit(step), F.col("other")) * (1 - 1e-9))
+    common = F.ceil(percent * (F.col("size") + least) / (100 + percent) - 1e-6)
+    wide = wide.filter(F.col("place") <= F.col("size") - common + 1).selectExpr("doc_id", "root", "shingle", "least(own, other) c1", "greatest(own, other) c2")
+    key = ["shingle", "c1", "c2"]
+    mixed = Window.partitionBy(*key)
+    wide = materialise(wide.withColumns({"lo": F.min("root").over(mixed), "hi": F.max("root").over(mixed)}).filter("lo < hi").drop("lo", "hi"), "prefixes")
+    x, y = wide.withColumnsRenamed({"doc_id": "x", "root": "rx"}), wide.withColumnsRenamed({"doc_id": "y", "root": "ry"})
+    return x.join(y, key).filter("rx < ry").selectExpr("least(x, y) a", "greatest(x, y) b").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -184,10 +221,12 @@ def near_duplicates(
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     reps = materialise(classes.selectExpr("rep doc_id", "digest", "sig"), "classes")
 
-    by_key = Window.partitionBy("key").orderBy("doc_id")
-    star = keys(reps, symbols, radius, chunks).withColumn("a", F.first("doc_id").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
-    tried = materialise(star.filter("a < doc_id").selectExpr("a", "doc_id b").distinct(), "pairs")
-    members = materialise(tried.selectExpr("a doc_id").union(tried.selectExpr("b doc_id")).distinct(), "members")
+    of_key = Window.partitionBy("key")
+    shared = materialise(keys(reps, symbols, radius, chunks).withColumn("n", F.count("*").over(of_key)).filter("n > 1"), "shared")
+    degree = shared.groupBy("doc_id").agg(F.sum("n").alias("degree"))
+    shared = materialise(shared.drop("n").join(degree, "doc_id"), "shared")
+    hub = F.max(F.struct("degree", (-F.col("doc_id")).alias("id"))).over(of_key)
+    tried = materialise(shared.withColumn("a", -hub["id"]).filter("a <> doc_id").selectExpr("a", "doc_id b").distinct(), "pairs")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
@@ -198,30 +237,26 @@ def near_duplicates(
                 names=["doc_id", "shingles", "sig"],
             )
 
-    texts = docs.join(members, "doc_id", "left_semi")
+    texts = docs.join(degree.select("doc_id"), "doc_id", "left_semi")
     sets = materialise(texts.mapInArrow(work, "doc_id long, shingles binary, sig binary"), "sets")
     links = materialise(verify(tried, sets, symbols, radius, percent), "links")
     roots = components(links)
 
-    def labelled() -> DataFrame:
-        return keys(sets, symbols, radius, chunks).join(roots, F.col("doc_id") == F.col("node"), "left").selectExpr("key", "doc_id", "coalesce(root, doc_id) root").distinct()
+    def opened() -> DataFrame:
+        seen = shared.join(roots, F.col("doc_id") == F.col("node"), "left").selectExpr("key", "doc_id", "coalesce(root, doc_id) root")
+        return seen.withColumns({"lo": F.min("root").over(of_key), "hi": F.max("root").over(of_key)}).filter("lo < hi")
 
-    span = Window.partitionBy("key")
-    for step in ("largest", "all"):
-        open_ = labelled().withColumns({"lo": F.min("root").over(span), "hi": F.max("root").over(span), "last": F.max(F.struct("doc_id", "root")).over(span)}).filter("lo < hi")
-        if step == "largest":
-            pairs = open_.filter("root <> last.root").selectExpr("doc_id a", "last.doc_id b")
-        else:
-            open_ = materialise(open_.select("key", "doc_id", "root"), "open")
-            x, y = open_.selectExpr("key", "doc_id x", "root rx"), open_.selectExpr("key", "doc_id y", "root ry")
-            pairs = x.join(y, "key").filter("rx < ry").selectExpr("least(x, y) a", "greatest(x, y) b")
-        pairs = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.limit(1).count():
-            more = materialise(verify(pairs, sets, symbols, radius, percent), "links")
-            if more.limit(1).count():
-                links = links.union(more)
-                roots = components(links)
-            tried = tried.union(pairs)
+    first = F.min("doc_id").over(of_key)
+    second = opened().withColumn("a", first).withColumn("ra", F.min(F.when(F.col("doc_id") == F.col("a"), F.col("root"))).over(of_key))
+    second = materialise(second.filter("root <> ra").selectExpr("a", "doc_id b").distinct(), "pairs")
+    more = materialise(verify(second, sets, symbols, radius, percent), "links")
+    links = links.union(more)
+    roots = components(links)
+
+    left = materialise(opened().select("doc_id", "root").distinct(), "open")
+    last = materialise(overlaps(left, sets, percent), "pairs")
+    links = links.union(materialise(verify(last, sets, symbols, symbols, percent), "links"))
+    roots = components(links)
 
     owner = reps.join(roots, F.col("doc_id") == F.col("node"), "left").selectExpr("digest", "coalesce(root, doc_id) root")
     out = prof.join(owner, "digest", "left")
