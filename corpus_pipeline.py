@@ -1,12 +1,67 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, mixing, sharding.
+
+Each stage takes what the one before kept, as Parquet, with the columns of documents (doc_id, text, lang, source, n_chars);
+the last returns shards. Rows are never sampled; what a stage drops is what its operator rejects:
+
+- toxicity drops texts whose score reaches the threshold (the model learns from the labels of the documents at hand);
+- near_duplicates keeps the smallest id of each component, once (rows without an id are kept);
+- decontamination drops documents that hold a passage of a benchmark item;
+- mixing repeats each document as often as the mix takes it (rounded to whole documents) and drops what it takes less than half of;
+- sharding gives every remaining row a shard and a slot.
+
+Null texts count as empty throughout; an empty table passes through all stages empty. No stage has SQL for its rows (the stages
+are tested against brute force), so ORACLE_SQL is None.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import decontam, minhash, mixing, sharding, toxicity
 from tidemark.llm.common import materialise
 
-STAGES: list = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity stays under the threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    return toxicity.filter_clean(docs.select(*COLUMNS), model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    found = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    rest = docs.select(*COLUMNS).join(found, "doc_id", "left_anti")
+    once = rest.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    return once.unionByName(rest.filter("doc_id is null"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.filter_clean(docs.select(*COLUMNS), items)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them whole."""
+    return mixing.repeat(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A shard and a slot for each row."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("sharding", assign_shards),
+]
 ORACLE_SQL = None
 
 

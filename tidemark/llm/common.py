@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,6 +55,18 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = SLICE_BY
             at = to
 
 
+def filter_rows(df: DataFrame, text_col: str, keep: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """Rows of df whose text passes; keep() is called once a task and gives a function from texts to a mask."""
+    column = df.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = keep()
+        for part in slices(batches, column):
+            yield part.filter(pa.array(passes(part.column(column))))
+
+    return df.mapInArrow(work, df.schema)
+
+
 def text_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array and its row offsets (int64, from 0); null counts as empty."""
     array = array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array

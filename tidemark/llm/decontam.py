@@ -26,9 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 
-from .common import Words, mix, scan, slices, span_hash, text_buffers
+from .common import Words, filter_rows, mix, scan, slices, span_hash, text_buffers
 
 #: Bytes that separate words: ASCII except letters and digits.
 OUTSIDE = np.zeros(256, bool)
@@ -126,30 +127,55 @@ def leaks(
     block: int = 20_000,
 ) -> DataFrame:
     """(doc_id, item_id, start_word, end_word, distance, item_words): passages within max_edits * item words of an item."""
-    spark = docs.sparkSession
-    items = benchmark.selectExpr(f"cast(`{item_col}` as long) item_id", f"cast(`{item_text}` as string) text").toArrow().combine_chunks()
-    repeats = repeats_for(recall)
     source = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     out = None
-    for lo in range(0, max(1, items.num_rows), block):
-        part = items.slice(lo, block)
-        texts = part.column("text").combine_chunks() if part.num_rows else pa.array([], pa.string())
-        words, h = words_of(texts)
-        shared = spark.sparkContext.broadcast((part.column("item_id").to_pylist(), h, words.first, *item_table(words, h, repeats, least)))
+    for shared in blocks(benchmark, item_col, item_text, repeats_for(recall), least, block):
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, item_h, item_first, key, item, off = shared.value
-            sieve = np.zeros(1 << 22, bool)
-            sieve[(key >> np.uint64(42)).astype(np.int64)] = True
+            index = shared.value
             for piece in slices(batches, 1):
-                yield search(piece, ids, item_h, item_first, key, item, off, sieve, repeats, stride, max_edits)
+                yield search(piece, index, repeats_for(recall), stride, max_edits)
 
         found = source.mapInArrow(work, LEAKS)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def search(piece, ids, item_h, item_first, key, item, off, sieve, repeats: int, stride: int, max_edits: float) -> pa.RecordBatch:
+def filter_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_edits: float = 0.2, recall: float = 0.995, stride: int = 4, least: int = 8, block: int = 20_000) -> DataFrame:
+    """Rows of docs, all columns, that hold no passage of any item."""
+    for shared in blocks(benchmark, "item_id", "text", repeats_for(recall), least, block):
+
+        def keep(shared=shared):
+            index = shared.value
+
+            def passes(texts: pa.Array) -> np.ndarray:
+                rows = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), texts], names=["doc_id", "text"])
+                ok = np.ones(len(texts), bool)
+                ok[search(rows, index, repeats_for(recall), stride, max_edits).column(0).to_numpy()] = False
+                return ok
+
+            return passes
+
+        docs = filter_rows(docs, text_col, keep)
+    return docs
+
+
+def blocks(benchmark: DataFrame, item_col: str, item_text: str, repeats: int, least: int, block: int) -> list[Broadcast]:
+    """The items in blocks: ids, word hashes, first words, and the sorted table of keys with a sieve before it."""
+    items = benchmark.selectExpr(f"cast(`{item_col}` as long) item_id", f"cast(`{item_text}` as string) text").toArrow()
+    out = []
+    for lo in range(0, max(1, items.num_rows), block):
+        part = items.slice(lo, block).combine_chunks()
+        words, h = words_of(pa.array(part.column("text").to_pylist(), pa.string()))
+        key, item, off = item_table(words, h, repeats, least)
+        sieve = np.zeros(1 << 22, bool)
+        sieve[(key >> np.uint64(42)).astype(np.int64)] = True
+        out.append(benchmark.sparkSession.sparkContext.broadcast((part.column("item_id").to_pylist(), h, words.first, key, item, off, sieve)))
+    return out
+
+
+def search(piece: pa.RecordBatch, index: tuple, repeats: int, stride: int, max_edits: float) -> pa.RecordBatch:
+    ids, item_h, item_first, key, item, off, sieve = index
     doc_ids = piece.column(0).to_pylist()
     words, h = words_of(piece.column(1))
     row_start = words.first[words.row]

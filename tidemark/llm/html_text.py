@@ -182,7 +182,7 @@ def blocks(page: str) -> list[Block]:
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def classify(found: list[Block], long_chars: int = 140, max_link: float = 0.33, min_stop: float = 0.12) -> None:
+def classify(found: list[Block], long_chars: int = 80, max_link: float = 0.33, min_stop: float = 0.12) -> None:
     """Pass one labels what it can; pass two gives open blocks their nearest decided neighbours' label."""
     has_content = any(b.inside and not b.chrome for b in found)
     for b in found:

@@ -39,6 +39,8 @@ from .common import LOWER, WHITE, materialise, mix, scan, slices, span_hash, tex
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 LN10 = math.log(10)
+#: Code points from which a word's lattice is built on its own.
+LONG = 200
 
 
 class Pieces:
@@ -148,6 +150,46 @@ def lattice(codes: np.ndarray, pieces: Pieces, uses: np.ndarray | None = None, c
     return total + pieces.log_stop[:, None]
 
 
+def lattice_long(code: np.ndarray, pieces: Pieces, uses: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
+    """lattice() of one long word: arcs of all places are found together, the recursion goes place by place."""
+    marked = np.concatenate([[MARK], code]).astype(np.uint32)
+    n = len(marked)
+    h, start, end, piece = np.full(n, 7, np.uint64), [], [], []
+    bare = np.ones(n, bool)
+    for k in range(min(pieces.longest, n)):
+        h = mix(h[: n - k] * np.uint64(0x9FB21C651E98DF25) + marked[k:])
+        at, which = pieces.find(h)
+        ok = pieces.begins[which] == (at == 0)
+        at, which = at[ok], which[ok]
+        if k == 0:
+            bare[at] = False
+        start.append(at)
+        end.append(at + k + 1)
+        piece.append(which)
+    bare[0] = False
+    left = np.flatnonzero(bare)
+    start, end, piece = np.concatenate([*start, left]), np.concatenate([*end, left + 1]), np.concatenate([*piece, np.full(len(left), -1)])
+    log = np.where(piece < 0, utf8_bytes(marked[start])[None] * pieces.log_byte[:, None], pieces.log[:, piece])
+
+    def recur(frm: np.ndarray, to: np.ndarray, first: int, weight: np.ndarray) -> np.ndarray:
+        out = np.full((n + 1, len(weight)), -np.inf)
+        out[first] = 0
+        order = np.argsort(frm if first == 0 else -frm, kind="stable")
+        for a, b, w in zip(frm[order].tolist(), to[order].tolist(), weight.T[order], strict=True):
+            out[b] = np.logaddexp(out[b], out[a] + w)
+        return out
+
+    alpha = recur(start, end, 0, log)
+    if uses is not None:
+        beta = recur(end, start, n, log[:1])
+        post = np.exp(alpha[start, 0] + log[0] + beta[end, 0] - alpha[n, 0])
+        for d in range(len(counts)):
+            uses[d, : len(pieces.names)] += np.bincount(piece[piece >= 0], post[piece >= 0] * counts[d], len(pieces.names))
+            uses[d, -2] += (post * utf8_bytes(marked[start]))[piece < 0].sum() * counts[d]
+        uses[:, -1] += counts
+    return alpha[n] + pieces.log_stop
+
+
 def lattice_all(words: pa.Array, pieces: Pieces, uses: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
     """lattice() over words of any length, those of one length together, in runs of bounded size."""
     out = np.zeros((len(pieces.log), len(words)))
@@ -155,6 +197,11 @@ def lattice_all(words: pa.Array, pieces: Pieces, uses: np.ndarray | None = None,
     text = words.to_pylist()
     for size in np.unique(length):
         rows = np.flatnonzero(length == size)
+        if size > LONG:
+            for r in rows:
+                code = np.frombuffer(text[r].encode("utf-32-le"), np.uint32)
+                out[:, r] = lattice_long(code, pieces, uses, None if counts is None else counts[:, r])
+            continue
         step = max(1, 200_000 // int(size + 1))
         for a in range(0, len(rows), step):
             part = rows[a : a + step]

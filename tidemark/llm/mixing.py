@@ -72,6 +72,12 @@ def invert(share: Column, knots: Sequence[tuple[float, float]]) -> Column:
     return out
 
 
+def identity(id_col: str, text_col: str) -> Column:
+    """A hash of id and text: the order of documents within a source."""
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -79,7 +85,6 @@ def mix(
     source_col: str = "source",
     cap: int = 3,
     schedules: dict[int, Sequence[tuple[float, float]]] | None = None,
-    keep_text: bool = False,
 ) -> DataFrame:
     """A row per document: doc_id, source, size, source_size, target, taken, passes, position, sorted by position in ranges.
 
@@ -90,7 +95,7 @@ def mix(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).cast("binary")).alias("h"),
+        identity(id_col, text_col).alias("h"),
     )
     sizes = materialise(sizes, "sizes")
     sources = materialise(weigh(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), len(schedules)), "sources")
@@ -119,3 +124,10 @@ def mix(
         taken = taken + w
     out = placed.select("doc_id", "source", "h", "size", "source_size", "target", taken.alias("taken"), F.filter(passes, lambda p: (p["words"] > 0) | p["whole"]).alias("passes"), when(start[0]).alias("position"))
     return out.repartitionByRange("position", "h").sortWithinPartitions("position", "h")
+
+
+def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of docs as often as the mix takes them, each pass rounded to whole documents (half a document or more counts)."""
+    taken = mix(docs, id_col, text_col, **options).groupBy("h").agg(F.sum(F.size(F.filter("passes", lambda p: p["whole"]))).alias("_n")).filter("_n > 0")
+    rows = docs.withColumn("h", identity(id_col, text_col)).dropDuplicates(["h"])
+    return rows.join(taken, "h").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("h", "_n")

@@ -57,7 +57,8 @@ def repeat_lengths(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
         found = (nxt < len(pos)) & (pos[np.minimum(nxt, len(pos) - 1)] == pos + width)
         found &= row[np.minimum(pos + width, len(row) - 1)] == row[pos]
         second = np.where(found, rank[np.minimum(nxt, len(pos) - 1)], -1 - np.arange(len(pos)))
-        order = np.lexsort((second, rank))
+        ahead = [word_at(h, row, pos, width + k) for k in range(BASE - 1)]  # so that neighbours share most, even where the share ends within a level
+        order = np.lexsort((second, *ahead[::-1], rank))
         a, b = rank[order], second[order]
         new = np.ones(len(order), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -89,6 +90,12 @@ def repeat_lengths(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pos, best
 
 
+def word_at(h: np.ndarray, row: np.ndarray, pos: np.ndarray, off: int) -> np.ndarray:
+    """The word off places after each position; 0 past the row."""
+    to = np.minimum(pos + off, len(h) - 1)
+    return np.where((pos + off < len(h)) & (row[to] == row[pos]), h[to], 0)
+
+
 def cover(pos: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
     """Marks of the union of spans over n words."""
     edge = np.zeros(n + 1, np.int64)

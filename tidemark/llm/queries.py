@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_text, lm_scoring, minhash, mixing, quality, sharding, toxicity
+from . import chat, decontam, html_text, lm_scoring, minhash, mixing, quality, sharding, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op7_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -57,7 +61,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-OPS = (op1_lattice_scores, op2_toxicity, op3_chat_formatting, op4_quality_rules, op5_decontamination, op6_balanced_sharding, op7_curriculum_mixing, op9_html_extraction, op10_minhash_near_dedup)
+OPS = (op1_lattice_scores, op2_toxicity, op3_chat_formatting, op4_quality_rules, op5_decontamination, op6_balanced_sharding, op7_curriculum_mixing, op8_suffix_dedup, op9_html_extraction, op10_minhash_near_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

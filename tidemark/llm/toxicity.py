@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import filter_rows, slices
 
 # Letters of other scripts, and digits and symbols, that stand in for Latin letters.
 HOMOGLYPHS = {
@@ -193,11 +193,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 24_000, entries: int =
         z = odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
         top = counted.filter(F.col("pos") >= min_docs).withColumns({"w": odds, "z": z}).filter(F.col("z") >= min_z).orderBy(F.desc("z"), "term").limit(entries)
         model.lexicon = prune({r.term: r.w for r in top.collect()})
-        auto = model.automaton()
-        rest = [(features(r.folded, auto), r.toxic) for r in once.filter(~half).select("folded", "toxic").toLocalIterator()]
-        y = np.array([t for _, t in rest], float)
-        if len(rest) and 0 < y.sum() < len(y):
-            model.curve = logistic(np.array([f for f, _ in rest]), y).tolist()
+        names = ["f0", "f1", "f2", "f3"]
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            auto = model.automaton()
+            for batch in batches:
+                found = np.array([features(t, auto) for t in batch.column(0).to_pylist()], float).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in found.T], batch.column(1)], names=[*names, "toxic"])
+
+        rest = once.filter(~half).select("folded", "toxic").mapInArrow(measure, ", ".join(f"{n} double" for n in names) + ", toxic int").toArrow()
+        y = rest["toxic"].to_numpy().astype(float)
+        if 0 < y.sum() < len(y):
+            model.curve = logistic(np.stack([rest[n].to_numpy() for n in names], 1), y).tolist()
     once.unpersist()
     return model
 
@@ -233,3 +240,13 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(work, "doc_id long, score double, predicted int")
+
+
+def filter_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """Rows of docs, all columns, whose score is under the threshold."""
+
+    def keep():
+        auto = model.automaton()
+        return lambda texts: np.array(scores(texts.to_pylist(), model, auto), float) < threshold
+
+    return filter_rows(docs, text_col, keep)
