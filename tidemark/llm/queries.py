@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, html_text, lm_scoring, minhash, mixing, quality, sharding, suffix_dedup, toxicity
+from .sql import SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents")).drop("covered_words", "longest_repeat")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +69,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in OPS}
 
 
-SQL: dict[str, str] = {}
-
-
 def oracle_sql() -> dict[str, str]:
     return SQL
