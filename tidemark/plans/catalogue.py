@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tidemark.plans import other_queries, registry, text_queries, trend_queries
+
+MODULES = (trend_queries, text_queries, other_queries)
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(registry.SQL)
