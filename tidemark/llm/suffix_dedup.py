@@ -319,8 +319,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for part in slices(batches, 1):
             rows = []
             for doc, text, asks in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = text.encode()
-                for a in asks:
+                raw = (text or "").encode()
+                for a in asks or ():
                     body = raw[a["start"] : a["start"] + a["size"]]
                     if a["kind"] == 1:
                         rows.append((a["key"], doc, a["start"], a["others"], body))
@@ -355,7 +355,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if rows:
             yield out(rows)
 
-    bodies = known.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asks").mapInArrow(cut, "key long, doc_id long, start long, others binary, body binary")
+    # An outer join like the last one, so that both read one exchange of the texts.
+    asked = source.join(wanted.hint("shuffle_hash"), "doc_id", "left").select("doc_id", F.when(F.col("asks").isNotNull(), F.col("text")).alias("text"), "asks")
+    bodies = asked.mapInArrow(cut, "key long, doc_id long, start long, others binary, body binary")
     more = bodies.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(compare, "doc_id long, start long, size long")
     spans = found.filter("kind = 0").select("doc_id", "start", "size").unionByName(more)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
