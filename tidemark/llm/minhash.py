@@ -8,10 +8,9 @@ At a Jaccard similarity of 0.75, 96 symbols differ in 24 on average (deviation 4
 in a million that lie exactly on the threshold.
 
 Groups are never expanded into all pairs. Texts with equal sets are one class. Within a key's group, members are first tried
-against the member that shares most keys with others (the text that the group's copies come from, as a rule) and then, where
-components still differ, against the smallest. What is then left in several components is compared exactly by prefixes of the
-sets, so that no link that could join two components is lost. A key's group holds at most one in `symbols` of all key rows,
-whatever the data.
+against the member that shares most keys with others (the text that the group's copies come from, as a rule). Groups that are
+then still in several components are compared exactly, block against block, in memory: only links come out, so that none that
+could join two components is lost. A key's group holds at most one in `symbols` of all key rows, whatever the data.
 
 Defined results: null and empty texts have an empty set, are linked with nothing and kept; fewer than five words form one
 shingle; repeated rows give a row each (rows with equal ids share a component); null ids get a null component and are kept;
@@ -22,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,39 +168,49 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def overlaps(open_: DataFrame, sets: DataFrame, percent: int, step: float = 1.05) -> DataFrame:
-    """Pairs (a, b) of different roots that may reach the similarity, by prefixes of their sets; none that does is left out.
+def cross_links(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between texts of different roots, one for each text and root that it meets, by counting common shingles in an inverted index.
 
-    Ordered by rarity, two sets of sizes m and n with at least i = percent * (m + n) / (100 + percent) common shingles share one
-    within the first m - i + 1 and n - i + 1. Sizes fall into classes a few percent wide; a set emits, for each class that a
-    partner may have, the prefix that the class' smallest size asks for.
+    The most frequent root's texts don't ask: they are met by those that do.
     """
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(token, kind="stable")
+    holders, first = owner[order], np.searchsorted(token[order], np.arange(token.max() + 2))
+    mine = np.split(token, np.cumsum(size)[:-1])
+    names, count = np.unique(roots, return_counts=True)
+    out = []
+    for r in np.flatnonzero(roots != names[np.argmax(count)]):
+        both = np.bincount(np.concatenate([holders[first[t] : first[t + 1]] for t in mine[r]]), minlength=len(sets))
+        near = np.flatnonzero((100 * both >= percent * (size + size[r] - both)) & (roots != roots[r]))
+        for k in np.unique(roots[near], return_index=True)[1]:
+            out.append((int(min(ids[r], ids[near[k]])), int(max(ids[r], ids[near[k]]))))
+    return out
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x = np.frombuffer(batch.column(2)[i].as_py(), np.int64)
-                n = len(x)
-                whole = [pa.array(np.full(n, batch.column(k)[i].as_py(), np.int64)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*whole, pa.array(x), pa.array(np.full(n, n, np.int64))], names=["doc_id", "root", "shingle", "size"])
-
-    rows = materialise(open_.join(sets, "doc_id").select("doc_id", "root", "shingles").mapInArrow(spread, "doc_id long, root long, shingle long, size long"), "rows")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    ranked = rows.join(often, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle")))
-    ranked = ranked.filter((F.col("lo") < F.col("hi")) & (F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1))
-    width = math.log(step)
-    own = F.floor(F.log("size") / width)
-    low = F.floor(F.log(F.col("size") * percent / 100) / width) - 1
-    high = F.floor(F.log(F.col("size") * 100 / percent) / width) + 1
-    wide = ranked.select("doc_id", "root", "shingle", "size", "place", own.alias("own"), F.explode(F.sequence(low, high)).alias("other"))
-    least = F.greatest(F.col("size") * percent / 100, F.pow(F.lit(step), F.col("other")) * (1 - 1e-9))
-    common = F.ceil(percent * (F.col("size") + least) / (100 + percent) - 1e-6)
-    wide = wide.filter(F.col("place") <= F.col("size") - common + 1).selectExpr("doc_id", "root", "shingle", "least(own, other) c1", "greatest(own, other) c2")
-    key = ["shingle", "c1", "c2"]
-    mixed = Window.partitionBy(*key)
-    wide = materialise(wide.withColumns({"lo": F.min("root").over(mixed), "hi": F.max("root").over(mixed)}).filter("lo < hi").drop("lo", "hi"), "prefixes")
-    x, y = wide.withColumnsRenamed({"doc_id": "x", "root": "rx"}), wide.withColumnsRenamed({"doc_id": "y", "root": "ry"})
-    return x.join(y, key).filter("rx < ry").selectExpr("least(x, y) a", "greatest(x, y) b").distinct()
+
+def open_links(open_: DataFrame, sets: DataFrame, percent: int, block_bytes: int = 2 << 20) -> DataFrame:
+    """Links (a, b) across roots among texts that share keys (key, doc_id, root), complete.
+
+    Texts connected by keys form a family. A family larger than a block is cut into blocks by a hash; every two blocks meet in one
+    task, which compares their texts in memory and puts out links only.
+    """
+    first = F.min("doc_id").over(Window.partitionBy("key"))
+    near = open_.withColumn("a", first).filter("a <> doc_id").selectExpr("a", "doc_id b").distinct()
+    family = components(near).selectExpr("node doc_id", "root family")
+    rows = open_.select("doc_id", "root").distinct().join(family, "doc_id").join(sets.select("doc_id", "shingles"), "doc_id")
+    sizes = rows.groupBy("family").agg(F.ceil(F.sum(F.length("shingles")) / block_bytes).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.selectExpr("family", "least(own, other) i", "greatest(own, other) j", "doc_id", "root", "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        links = cross_links(table["doc_id"].to_numpy(), table["root"].to_numpy(), found, percent)
+        cols = list(zip(*links, strict=True)) if links else [[], []]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
+    return rows.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -242,21 +250,10 @@ def near_duplicates(
     links = materialise(verify(tried, sets, symbols, radius, percent), "links")
     roots = components(links)
 
-    def opened() -> DataFrame:
-        seen = shared.join(roots, F.col("doc_id") == F.col("node"), "left").selectExpr("key", "doc_id", "coalesce(root, doc_id) root")
-        return seen.withColumns({"lo": F.min("root").over(of_key), "hi": F.max("root").over(of_key)}).filter("lo < hi")
-
-    first = F.min("doc_id").over(of_key)
-    second = opened().withColumn("a", first).withColumn("ra", F.min(F.when(F.col("doc_id") == F.col("a"), F.col("root"))).over(of_key))
-    second = materialise(second.filter("root <> ra").selectExpr("a", "doc_id b").distinct(), "pairs")
-    more = materialise(verify(second, sets, symbols, radius, percent), "links")
-    links = links.union(more)
-    roots = components(links)
-
-    left = materialise(opened().select("doc_id", "root").distinct(), "open")
-    last = materialise(overlaps(left, sets, percent), "pairs")
-    links = links.union(materialise(verify(last, sets, symbols, symbols, percent), "links"))
-    roots = components(links)
+    seen = shared.join(roots, F.col("doc_id") == F.col("node"), "left").selectExpr("key", "doc_id", "coalesce(root, doc_id) root")
+    open_ = seen.withColumns({"lo": F.min("root").over(of_key), "hi": F.max("root").over(of_key)}).filter("lo < hi").select("key", "doc_id", "root")
+    more = materialise(open_links(materialise(open_, "open"), sets, percent), "links")
+    roots = components(links.union(more))
 
     owner = reps.join(roots, F.col("doc_id") == F.col("node"), "left").selectExpr("digest", "coalesce(root, doc_id) root")
     out = prof.join(owner, "digest", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 OP3 = r"""
 with rows as (
@@ -17,7 +17,7 @@ from sized group by conv_id"""
 OP4 = rf"""
 with t as (select doc_id, coalesce(text, '') as text, {WORDS.format("coalesce(text, '')")} as ws from documents),
 n as (select doc_id, ws, len(ws) as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
-  list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
 g as (select doc_id, m, i, list_slice(ws, i, i + m - 1) as gram from (select doc_id, ws, m, unnest(generate_series(1, n_words - m + 1)) as i from n cross join (values (3), (10), (51)) v(m) where n_words >= m)),
 again as (select doc_id, m, i from g qualify count(*) over (partition by doc_id, m, gram) > 1),
 cover as (select doc_id, m, sum(least(m, coalesce(nxt - i, m))) as words from (select *, lead(i) over (partition by doc_id, m order by i) as nxt from again) group by 1, 2),
@@ -33,8 +33,8 @@ w as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 as
 o as (select *, row_number() over (order by 3.0 * source_size / weight, source) as k from w),
 l as (select *, ((select sum(source_size) from s) - coalesce(sum(3 * source_size) over (order by k rows between unbounded preceding and 1 preceding), 0)) / cast(sum(weight) over (order by k rows between current row and unbounded following) as double) as level from o),
 t as (select *, least(coalesce((select min_by(level, k) from l where level * weight <= 3 * source_size), 1e300) * weight, 3.0 * source_size) as target from l),
-p as (select d.*, t.source_size, t.target, cast(round(t.target) as bigint) as goal, cast(sum(size) over (partition by d.source order by h, doc_id, size rows unbounded preceding) - size as bigint) as at from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target, greatest(0, least(size, goal - at)) + greatest(0, least(size, goal - source_size - at)) + greatest(0, least(size, goal - 2 * source_size - at)) as taken from p"""
+p as (select d.*, t.source_size, t.target, cast(round(t.target) as bigint) as goal, cast(sum(size) over (partition by d.source order by h, doc_id, size rows unbounded preceding) - size as bigint) as place from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target, greatest(0, least(size, goal - place)) + greatest(0, least(size, goal - source_size - place)) + greatest(0, least(size, goal - 2 * source_size - place)) as taken from p"""
 
 OP10 = rf"""
 with recursive t as (select doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
