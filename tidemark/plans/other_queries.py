@@ -22,7 +22,7 @@ def emb(spark: SparkSession, sf: str):
 
 # Vectors ------------------------------------------------------------------------------------------------------------
 
-E = "e as (select vec_id, label, list_transform(embedding, x -> cast(x as double)) as v from embeddings)"
+E = "e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings)"
 COS = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
 
 

@@ -26,12 +26,12 @@ def quoted(words: list[str]) -> str:
 
 WS = r"\s+"
 NORM = r"trim(lower(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+', '', 'g'), '@[\p{L}\p{N}_]+', '', 'g'), '\s+', ' ', 'g')))"
-WORDS = r"list_filter(regexp_split_to_array(lower({}), '\s+'), x -> x <> '')"
+WORDS = r"list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> '')"
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 
 def kw(stop: list[str]) -> str:
-    return f"list_filter({TOKENS}, x -> length(x) > 3 and x not in ({quoted(stop)}))"
+    return f"list_filter({TOKENS}, lambda x: length(x) > 3 and x not in ({quoted(stop)}))"
 
 
 # Cleaning and functions ---------------------------------------------------------------------------------------------
@@ -142,8 +142,8 @@ SETS = f"sets as (select doc_id, list_sort(list_distinct({WORDS.format('norm')})
 
 
 @plan(
-    f"with {SETS}, e as (select id, len(ws) as n, unnest(ws) as w from cls), p as (select a.id as id_a, b.id as id_b, a.n as na, b.n as nb, count(*) as both from e a join e b on a.w = b.w and a.id < b.id and a.n >= 0.8 * b.n and b.n >= 0.8 * a.n group by 1, 2, 3, 4) "
-    "select id_a, id_b, round(both * 1.0 / (na + nb - both), 6) as similarity from p where both * 1.0 / (na + nb - both) >= 0.8"
+    f"with {SETS}, e as (select id, len(ws) as n, unnest(ws) as w from cls), p as (select a.id as id_a, b.id as id_b, a.n as na, b.n as nb, count(*) as common from e a join e b on a.w = b.w and a.id < b.id and a.n >= 0.8 * b.n and b.n >= 0.8 * a.n group by 1, 2, 3, 4) "
+    "select id_a, id_b, round(common * 1.0 / (na + nb - common), 6) as similarity from p where common * 1.0 / (na + nb - common) >= 0.8"
 )
 def near_dup_jaccard(spark, sf):
     """Pairs of word-set classes; members of classes: near_dup_members."""
@@ -164,11 +164,11 @@ def near_dup_minhash(spark, sf):
 
 LEN = "length(text)"
 SPAM = f"""w as (select doc_id, source, text, {WORDS.format('text')} as ws from documents where text <> ''),
-cb as (select doc_id, max(n) * 1.0 / sum(n) as s from (select doc_id, bg, count(*) as n from (select doc_id, unnest(list_transform(generate_series(1, length(text) - 1), i -> substr(text, i, 2))) as bg from w) group by 1, 2) group by 1),
-wb as (select doc_id, max(n) * 1.0 / sum(n) as s from (select doc_id, bg, count(*) as n from (select doc_id, unnest(list_transform(generate_series(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1])) as bg from w where len(ws) >= 3) group by 1, 2) group by 1),
+cb as (select doc_id, max(n) * 1.0 / sum(n) as s from (select doc_id, bg, count(*) as n from (select doc_id, unnest(list_transform(generate_series(1, length(text) - 1), lambda i: substr(text, i, 2))) as bg from w) group by 1, 2) group by 1),
+wb as (select doc_id, max(n) * 1.0 / sum(n) as s from (select doc_id, bg, count(*) as n from (select doc_id, unnest(list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1])) as bg from w where len(ws) >= 3) group by 1, 2) group by 1),
 wu as (select doc_id, sum(case when n > 1 then n else 0 end) * 1.0 / sum(n) as s from (select doc_id, x, count(*) as n from (select doc_id, unnest(ws) as x from w) group by 1, 2) group by 1),
 c as (select w.doc_id, w.source, case when {LEN} < 10 then 0 else greatest(coalesce(cb.s, 0), coalesce(wb.s, 0), coalesce(wu.s, 0)) end as repetition,
- coalesce(list_sum(list_transform(regexp_extract_all(text, 'https?://[!$-_a-z]+'), u -> length(u))), 0) * 1.0 / {LEN} as url_share,
+ coalesce(list_sum(list_transform(regexp_extract_all(text, 'https?://[!$-_a-z]+'), lambda u: length(u))), 0) * 1.0 / {LEN} as url_share,
  least(({' + '.join(f"(case when contains(lower(text), '{p}') then 1 else 0 end)" for p in posts.PROMO)}) / 3.0, 1) as promotion,
  least(2.0 * length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\s]', '', 'g')) / {LEN}, 1) as special, least(2.0 * length(regexp_replace(text, '[^\\p{{Nd}}]', '', 'g')) / {LEN}, 1) as digits,
  coalesce(length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) * 1.0 / nullif(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')), 0), 0) as caps, {LEN} as n
@@ -200,7 +200,7 @@ def spam_with_authors(spark, sf):
 
 # Language -----------------------------------------------------------------------------------------------------------
 
-HITS = f"list_count(list_filter(regexp_extract_all(regexp_replace(lower(text), '[\\p{{N}}_]|[^\\x00-\\x7F]', chr(1), 'g'), '[a-z\\x01]+'), x -> x in ({quoted(posts.HINGLISH)})))"
+HITS = f"list_count(list_filter(regexp_extract_all(regexp_replace(lower(text), '[\\p{{N}}_]|[^\\x00-\\x7F]', chr(1), 'g'), '[a-z\\x01]+'), lambda x: x in ({quoted(posts.HINGLISH)})))"
 LANG = f"""l as (select doc_id, lang, regexp_matches(text, '[\\x{{0900}}-\\x{{097F}}]') as deva, regexp_matches(text, '[a-zA-Z]') as latin, length(trim(text)) < 3 as short, {HITS} >= 2 as mixed from documents),
 d as (select doc_id, lang, case when short then 'unknown' when deva and latin then 'hi-en' when deva then 'hi' when latin and mixed then 'hi-en' when latin then 'en' else 'unknown' end as language,
  case when short then 0.0 when deva then 0.95 when latin and mixed then 0.9 when latin then 0.5 else 0.0 end as confidence, case when short then 'unknown' when deva and latin then 'mixed' when deva then 'devanagari' when latin then 'latin' else 'unknown' end as script from l)"""
@@ -247,7 +247,7 @@ def tfidf_rank(spark, sf):
     return posts.tfidf(docs(spark, sf), 50).select("word", "tf", "df", r("score"))
 
 
-TAGS = f"g as (select doc_id, list_sort(list_distinct(list_filter({TOKENS}, x -> length(x) >= 12))) as tags from documents)"
+TAGS = f"g as (select doc_id, list_sort(list_distinct(list_filter({TOKENS}, lambda x: length(x) >= 12))) as tags from documents)"
 
 
 def tags() -> F.Column:

@@ -360,7 +360,7 @@ def forest_importance(spark, sf):
 
 
 @plan(
-    "with e as (select epoch_us(min(ts)) a, epoch_us(max(ts)) b from events), x as (select (epoch_us(ts) - a) * 1.0 / greatest(b - a, 1) as at from events cross join e) select case when at < 0.7 then 'train' when at < 0.7 + 0.15 then 'validation' else 'test' end as split, count(*) as n from x group by 1"
+    "with e as (select epoch_us(min(ts)) a, epoch_us(max(ts)) b from events), x as (select (epoch_us(ts) - a) * 1.0 / greatest(b - a, 1) as place from events cross join e) select case when place < 0.7 then 'train' when place < 0.7 + 0.15 then 'validation' else 'test' end as split, count(*) as n from x group by 1"
 )
 def temporal_split(spark, sf):
     return forecast.time_split(events(spark, sf), "ts").groupBy("split").agg(F.count("*").alias("n"))

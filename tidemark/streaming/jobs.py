@@ -38,9 +38,9 @@ def hashtag_counts(posts: DataFrame, text: str = "text") -> DataFrame:
     return posts.select(F.explode(T.hashtags(text)).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-def author_frequency(events: DataFrame, author: str = "user_id", key: str = "event_id", most: int = 5, forget: str = "7 days") -> DataFrame:
-    """(author, key, posts so far, frequency): one long of state for each author, forgotten after `forget` without posts."""
-    limit = int(pd.Timedelta(forget).total_seconds() * 1000)
+def author_frequency(events: DataFrame, author: str = "user_id", key: str = "event_id", most: int = 5, forget: str | None = None) -> DataFrame:
+    """(author, key, posts so far, frequency): one long of state for each author, forgotten after `forget` without posts (a stream that is never done, then)."""
+    limit = int(pd.Timedelta(forget).total_seconds() * 1000) if forget else None
 
     def count(who: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -53,10 +53,11 @@ def author_frequency(events: DataFrame, author: str = "user_id", key: str = "eve
             n += len(pdf)
             yield pd.DataFrame({author: who[0], key: pdf[key].to_numpy(), "posts": list(seen), "frequency": [min(x / most, 1.0) for x in seen]})
         state.update((n,))
-        state.setTimeoutDuration(limit)
+        if limit:
+            state.setTimeoutDuration(limit)
 
     schema = f"{author} long, {key} long, posts long, frequency double"
-    return events.select(author, key).groupBy(author).applyInPandasWithState(count, schema, "n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select(author, key).groupBy(author).applyInPandasWithState(count, schema, "n long", "append", GroupStateTimeout.ProcessingTimeTimeout if limit else GroupStateTimeout.NoTimeout)
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
