@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,55 +138,31 @@ def minhash_pairs(posts: DataFrame, distance: float = 0.2, key: str = "doc_id",
 # Spam ---------------------------------------------------------------------------------------------------------------
 
 
-def top_share(items: Column) -> Column:
-    """Share of the most frequent element, by sorting and one pass over runs."""
-    runs = F.aggregate(
-        F.array_sort(items),
-        F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top")),
-        lambda a, x: _step(a, x),
-    )
-    return F.coalesce(F.try_divide(runs["top"], F.size(items)), F.lit(0.0))
-
-
-def _step(a: Column, x: Column) -> Column:
-    run = F.when(a["last"] == x, a["run"] + 1).otherwise(1)
-    return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["top"], run).alias("top"))
-
-
-def repeated_share(items: Column) -> Column:
-    """Share of elements that occur more than once."""
-    ordered = F.array_sort(items)
-    n = F.size(ordered)
-    flags = F.transform(ordered, lambda x, i: F.when((F.get(ordered, i - 1) == x) | (F.get(ordered, i + 1) == x), 1).otherwise(0))
-    return F.coalesce(F.try_divide(F.aggregate(flags, F.lit(0), lambda a, x: a + x), n), F.lit(0.0))
-
-
-def pairs_of(items: Column) -> Column:
-    """Neighbouring elements joined by a space."""
-    n = F.size(items)
-    return F.when(n >= 2, F.transform(F.slice(items, F.lit(1), n - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(items, i + 1)))).otherwise(F.array().cast("array<string>"))
+@arrow("double")
+def repetition(texts: pd.Series) -> pd.Series:
+    """The largest of: share of the top character pair, share of the top word pair, share of words that occur again.
 
+    In Arrow batches: as array expressions the pairs would be built anew for every element.
+    """
 
-@arrow("double")
-def top_bigram_share(texts: pd.Series) -> pd.Series:
-    """Share of the most frequent pair of neighbouring characters, counted by numpy over code points."""
-    import numpy as np
+    def top(items: np.ndarray) -> float:
+        return float(np.unique(items, return_counts=True)[1].max() / len(items)) if len(items) else 0.0
 
     def one(t: str) -> float:
-        code = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        if len(code) < 2:
+        if len(t) < 10:
             return 0.0
-        pair = (code[:-1] << np.uint64(32)) | code[1:]
-        return float(np.unique(pair, return_counts=True)[1].max() / len(pair))
+        code = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        char = top((code[:-1] << np.uint64(32)) | code[1:])
+        ids = pd.factorize(np.array([w for w in re.split(r"\s+", t.lower(), flags=re.ASCII) if w], object))[0].astype(np.uint64)
+        if not len(ids):
+            return char
+        pair = top((ids[:-1] << np.uint64(32)) | ids[1:]) if len(ids) >= 3 else 0.0
+        count = np.bincount(ids.astype(np.int64))
+        return max(char, pair, float(count[count > 1].sum() / len(ids)))
 
     return texts.fillna("").map(one)
 
 
-def repetition(text: Column, words: Column) -> Column:
-    char = top_bigram_share(text)
-    return F.when(F.length(text) < 10, 0.0).otherwise(F.greatest(char, F.when(F.size(words) >= 3, top_share(pairs_of(words))).otherwise(0.0), repeated_share(words)))
-
-
 def url_ratio(text: Column) -> Column:
     total = F.aggregate(T.urls(text), F.lit(0), lambda a, u: a + F.length(u))
     return F.coalesce(F.try_divide(total, F.length(text)), F.lit(0.0))
@@ -209,14 +187,13 @@ def malformed(text: Column) -> Column:
 def spam(posts: DataFrame, text: str = "text", author: str | None = None, order: list[str] | None = None, threshold: float = 0.6, most: int = 5, url_limit: float = 0.5) -> DataFrame:
     """Adds the five components, spam_score, is_spam and reasons. author with order: running count of the author's posts."""
     body = F.coalesce(F.col(text), F.lit(""))
-    posts = posts.withColumn("_words", T.words(body))
     if author:
         count = F.row_number().over(Window.partitionBy(author).orderBy(*(order or [])))
         frequency = F.when(F.col(author).isNotNull(), F.least(count / most, F.lit(1.0))).otherwise(0.0)
     else:
         frequency = F.lit(0.0)
-    parts = {"repetition": repetition(body, F.col("_words")), "url_share": url_ratio(body), "promotion": promotion(body), "frequency": frequency, "malformed": malformed(body)}
-    out = posts.withColumns({k: F.when(body == "", 0.0).otherwise(v) for k, v in parts.items()}).drop("_words")
+    parts = {"repetition": repetition(body), "url_share": url_ratio(body), "promotion": promotion(body), "frequency": frequency, "malformed": malformed(body)}
+    out = posts.withColumns({k: F.when(body == "", 0.0).otherwise(v) for k, v in parts.items()})
     total = 0.3 * F.col("repetition") + 0.2 * F.col("url_share") + 0.3 * F.col("promotion") + 0.1 * F.col("frequency") + 0.1 * F.col("malformed")
     why = [("High repetition", "repetition", 0.5), ("Excessive URLs", "url_share", url_limit), ("Promotional content", "promotion", 0.5), ("High posting frequency", "frequency", 0.5), ("Malformed content", "malformed", 0.5)]
     reasons = F.array_compact(F.array(*[F.when(F.col(c) > limit, F.lit(name)) for name, c, limit in why]))
@@ -314,7 +291,8 @@ def hashtag_counts(posts: DataFrame, text: str = "text") -> DataFrame:
 
 def cooccurrence(posts: DataFrame, tags: Column, least: int = 2) -> DataFrame:
     """(a, b, n), a < b: posts in which both tags occur, from pairs within each post's own distinct tags."""
-    distinct = F.array_sort(F.array_distinct(tags))
+    posts = posts.select(F.explode(F.array(F.array_sort(F.array_distinct(tags)))).alias("_tags"))  # a column of its own: the pairs below read it often
+    distinct = F.col("_tags")
     pairs = F.flatten(F.transform(distinct, lambda x, i: F.transform(F.slice(distinct, i + 2, F.greatest(F.size(distinct) - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return posts.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
