@@ -141,15 +141,14 @@ def test_sentiment_and_providers(spark):
     made = providers.ask(df, "text", lambda: providers.Offline(lambda p: '```json\n{"sentiment": "Positive", "score": 3, "confidence": 0.5}\n```'))
     m = made.select(providers.read_sentiment("answer").alias("m")).first().m
     assert (m.sentiment, m.sentiment_score) == ("positive", 1.0)
-    assert providers.ask(df, "text", Broken, retries=2).first().attempts == 2
-    e = df.select(providers.read_emotion(F.lit('{"emotion": "joy", "intensities": {"joy": 2}}')).alias("m")).first().m
-    assert e.emotion == "joy" and e.intensities["joy"] == 1.0
-
 
-class Broken:
-    def generate(self, prompt):
+    def fail(prompt):
         raise RuntimeError
 
+    assert providers.ask(df, "text", lambda: providers.Offline(fail), retries=2).first().attempts == 2
+    e = df.select(providers.read_emotion(F.lit('{"emotion": "joy", "intensities": {"joy": 2}}')).alias("m")).first().m
+    assert e.emotion == "joy" and e.intensities["joy"] == 1.0
+
 
 # Vectors, topics, forecasts -----------------------------------------------------------------------------------------
 
