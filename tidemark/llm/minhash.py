@@ -169,7 +169,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def cross_links(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between texts of different roots, one for each text and root that it meets, by counting common shingles in an inverted index.
+    """Links that join the roots of texts, as few as join all that are linked, by counting common shingles in an inverted index.
 
     The most frequent root's texts don't ask: they are met by those that do.
     """
@@ -180,11 +180,21 @@ def cross_links(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], perc
     holders, first = owner[order], np.searchsorted(token[order], np.arange(token.max() + 2))
     mine = np.split(token, np.cumsum(size)[:-1])
     names, count = np.unique(roots, return_counts=True)
-    out = []
+    out, group = [], {}
+
+    def top(x: int) -> int:
+        while group.get(x, x) != x:
+            x = group[x]
+        return x
+
     for r in np.flatnonzero(roots != names[np.argmax(count)]):
         both = np.bincount(np.concatenate([holders[first[t] : first[t + 1]] for t in mine[r]]), minlength=len(sets))
         near = np.flatnonzero((100 * both >= percent * (size + size[r] - both)) & (roots != roots[r]))
         for k in np.unique(roots[near], return_index=True)[1]:
+            x, y = top(int(roots[r])), top(int(roots[near[k]]))
+            if x == y:
+                continue
+            group[max(x, y)] = min(x, y)
             out.append((int(min(ids[r], ids[near[k]])), int(max(ids[r], ids[near[k]]))))
     return out
 
