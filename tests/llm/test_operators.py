@@ -292,6 +292,28 @@ def test_leaks_recall_and_precision(spark, sf, docs, texts):
     assert {r.doc_id for r in clean.select("doc_id").collect()} == set(texts) - set(got)
 
 
+@pytest.mark.parametrize("even", [False, True])
+def test_leaks_at_the_limit_by_item_length(spark, even):
+    rng = random.Random(11)
+    new = (f"w{i}" for i in itertools.count())
+    bench, rows, want = [], [], {}
+    for n in [8, 10, 11, 14, 15, 19, 20, 23, 24, 26, 30, 35, 40, 59]:
+        for _ in range(15):
+            item, edits = [next(new) for _ in range(n)], int(0.2 * n)
+            places = [(k + 1) * n // (edits + 1) for k in range(edits)] if even else rng.sample(range(1, n - 1), edits)
+            w = list(item)
+            for at in sorted(places, reverse=True):
+                w[at : at + 1] = rng.choice([[], [next(new)], [w[at], next(new)]]) if not even else [next(new)]
+            bench.append((len(bench), " ".join(item)))
+            want[len(rows)] = (n, edits)
+            rows.append((len(rows), " ".join([next(new) for _ in range(rng.randrange(9))] + w + [next(new) for _ in range(5)])))
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.distance for r in decontam.leaks(frame(spark, rows), items).collect()}
+    lost = collections.Counter(n for i, (n, _) in want.items() if (i, i) not in found)
+    assert not lost and all(found[i, i] <= e for i, (_, e) in want.items())
+    assert decontam.filter_clean(frame(spark, rows), items).count() == 0
+
+
 def test_leaks_edges(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "tie tie tie tie tie tie tie tie tie tie")], "item_id long, text string")
     assert decontam.leaks(frame(spark, EDGES), items).count() >= 0

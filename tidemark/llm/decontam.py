@@ -8,7 +8,10 @@ distance. Each of `repeats` walks samples some of its steps into one key. Items
 passage meets the item's window that begins at the same place whatever its alignment. Short items have short walks.
 Candidates are confirmed by the exact word edit distance of the whole item to the best-matching stretch around.
 
-`repeats` is set from `recall`: each of the item's windows collides with the passage's in at least the share `hit` of walks.
+Walks find a passage with a probability that falls with its edits, so they alone lose passages near the limit. Exact pieces
+complete them: an item that may have e edits is cut into e + 1 pieces, of which a passage within the limit holds one unedited;
+the first (at most PIECE) words of every piece are looked up at every word of the documents. No passage within the limit is lost.
+`recall` and `hit` only set how many walks there are.
 
 The benchmark is a stated query set: it comes to the driver and goes to all tasks in blocks of at most `block` items; every
 document is tried against every block. Documents are never cut, shuffled or gathered.
@@ -29,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 
-from .common import Words, filter_rows, mix, scan, slices, span_hash, text_buffers
+from .common import Words, filter_rows, grams, mix, scan, slices, span_hash, text_buffers
 
 #: Bytes that separate words: ASCII except letters and digits.
 OUTSIDE = np.zeros(256, bool)
@@ -37,6 +40,8 @@ OUTSIDE[:128] = [not chr(i).isalnum() for i in range(128)]
 LEAKS = "doc_id long, item_id long, start_word long, end_word long, distance long, item_words long"
 #: (steps of the walk, sampled steps, least words of the item)
 CLASSES = ((12, 5, 0), (30, 8, 24))
+#: Most words of an item's piece that are looked up.
+PIECE = 4
 
 
 def words_of(texts: pa.Array) -> tuple[Words, np.ndarray]:
@@ -91,6 +96,25 @@ def item_table(words: Words, h: np.ndarray, repeats: int, least: int) -> tuple[n
     return key[order], item[order], off[order]
 
 
+def piece_table(words: Words, h: np.ndarray, max_edits: float, least: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length in words: sorted keys of pieces of which a passage within max_edits holds one, with item row and offset in the item."""
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for row, n in enumerate(words.counts.tolist()):
+        if n < max(least, 1):
+            continue
+        pieces = min(int(max_edits * n) + 1, n)
+        size = min(PIECE, n // pieces)
+        found.setdefault(size, []).extend((int(words.first[row]) + k * n // pieces, row, k * n // pieces) for k in range(pieces))
+    out = {}
+    for size, rows in found.items():
+        start, item, off = (np.array(x) for x in zip(*rows, strict=True))
+        key, at = grams(h, words.row, size)
+        key = key[np.searchsorted(at, start)]
+        order = np.argsort(key, kind="stable")
+        out[size] = key[order], item[order], off[order]
+    return out
+
+
 def fit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Least edit distance of the whole item to any stretch of text, and the stretch [a, b) (the first shortest such)."""
     n = len(text)
@@ -109,7 +133,7 @@ def fit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 def repeats_for(recall: float, hit: float = 0.75) -> int:
-    """Walks needed so that one of them hits with probability `recall`."""
+    """Walks needed so that one of them hits with probability `recall`, if each hits with probability `hit` (few edits)."""
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
 
 
@@ -129,7 +153,7 @@ def leaks(
     """(doc_id, item_id, start_word, end_word, distance, item_words): passages within max_edits * item words of an item."""
     source = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     out = None
-    for shared in blocks(benchmark, item_col, item_text, repeats_for(recall), least, block):
+    for shared in blocks(benchmark, item_col, item_text, repeats_for(recall), max_edits, least, block):
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -143,7 +167,7 @@ def leaks(
 
 def filter_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_edits: float = 0.2, recall: float = 0.995, stride: int = 4, least: int = 8, block: int = 20_000) -> DataFrame:
     """Rows of docs, all columns, that hold no passage of any item."""
-    for shared in blocks(benchmark, "item_id", "text", repeats_for(recall), least, block):
+    for shared in blocks(benchmark, "item_id", "text", repeats_for(recall), max_edits, least, block):
 
         def keep(shared=shared):
             index = shared.value
@@ -160,48 +184,58 @@ def filter_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return docs
 
 
-def blocks(benchmark: DataFrame, item_col: str, item_text: str, repeats: int, least: int, block: int) -> list[Broadcast]:
-    """The items in blocks: ids, word hashes, first words, and the sorted table of keys with a sieve before it."""
+def blocks(benchmark: DataFrame, item_col: str, item_text: str, repeats: int, max_edits: float, least: int, block: int) -> list[Broadcast]:
+    """The items in blocks: ids, word hashes, first words, the sorted table of keys with a sieve before it, and the pieces."""
     items = benchmark.selectExpr(f"cast(`{item_col}` as long) item_id", f"cast(`{item_text}` as string) text").toArrow()
     out = []
     for lo in range(0, max(1, items.num_rows), block):
         part = items.slice(lo, block).combine_chunks()
         words, h = words_of(pa.array(part.column("text").to_pylist(), pa.string()))
         key, item, off = item_table(words, h, repeats, least)
+        pieces = piece_table(words, h, max_edits, least)
         sieve = np.zeros(1 << 22, bool)
-        sieve[(key >> np.uint64(42)).astype(np.int64)] = True
-        out.append(benchmark.sparkSession.sparkContext.broadcast((part.column("item_id").to_pylist(), h, words.first, key, item, off, sieve)))
+        for k in (key, *(x[0] for x in pieces.values())):
+            sieve[(k >> np.uint64(42)).astype(np.int64)] = True
+        out.append(benchmark.sparkSession.sparkContext.broadcast((part.column("item_id").to_pylist(), h, words.first, key, item, off, sieve, pieces)))
     return out
 
 
 def search(piece: pa.RecordBatch, index: tuple, repeats: int, stride: int, max_edits: float) -> pa.RecordBatch:
-    ids, item_h, item_first, key, item, off, sieve = index
+    ids, item_h, item_first, key, item, off, sieve, pieces = index
     doc_ids = piece.column(0).to_pylist()
     words, h = words_of(piece.column(1))
     row_start = words.first[words.row]
     starts = np.flatnonzero((np.arange(len(h)) - row_start) % stride == 0)
-    hits = []
+    hits = [np.zeros((0, 3), np.int64)]
+
+    def look(k: np.ndarray, starts: np.ndarray, key: np.ndarray, item: np.ndarray, off: np.ndarray) -> None:
+        near = np.flatnonzero(sieve[(k >> np.uint64(42)).astype(np.int64)])
+        a, b = np.searchsorted(key, k[near], "left"), np.searchsorted(key, k[near], "right")
+        n = b - a
+        at = np.repeat(starts[near], n)
+        j = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
+        hits.append(np.stack([words.row[at], item[j], at - off[j]], axis=1))
+
     for r in range(repeats if len(key) else 0):
-        found, _ = walk(h, starts, r)
-        for k in found:
-            near = np.flatnonzero(sieve[(k >> np.uint64(42)).astype(np.int64)])
-            a, b = np.searchsorted(key, k[near], "left"), np.searchsorted(key, k[near], "right")
-            for i in np.flatnonzero(b > a):
-                at = int(starts[near[i]])
-                hits += [(int(words.row[at]), int(item[j]), at - int(off[j])) for j in range(a[i], b[i])]
+        for k in walk(h, starts, r)[0]:
+            look(k, starts, key, item, off)
+    for size, table in pieces.items():
+        look(*grams(h, words.row, size), *table)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    done: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for row, it, guess in sorted(set(hits)):
+    done: dict[tuple[int, int], tuple[int, int]] = {}
+    for row, it, guess in np.unique(np.concatenate(hits), axis=0).tolist():
         w = item_h[item_first[it] : item_first[it + 1]]
         most = int(max_edits * len(w))
         lo, hi = int(words.first[row]), int(words.first[row + 1])
         a, b = max(lo, guess - most), min(hi, guess + len(w) + most)
-        seen = done.setdefault((row, it), [])
-        if any(x <= a and b <= y for x, y in seen):
+        x, y = done.get((row, it), (0, 0))  # guesses ascend, so that the last look reaches furthest
+        if x <= a and b <= y:
             continue
         pad = len(w)  # one look settles the guesses nearby
         a, b = max(lo, a - pad), min(hi, b + pad)
-        seen.append((a, b))
+        done[row, it] = (a, b)
+        if np.isin(h[a:b], w).sum() < len(w) - most:
+            continue
         cost, begin, end = fit_distance(w, h[a:b])
         if cost <= most and ((row, it) not in best or (cost, a + begin) < best[row, it][:2]):
             best[row, it] = (cost, a + begin, a + end)
