@@ -461,6 +461,14 @@ def test_suffix_dedup_matches_brute_force(spark, texts, many):
     assert got == brute_removal(rows)
 
 
+def test_suffix_dedup_keeps_segments_whose_hashes_share_32_bits(spark):
+    a, b = "rarfzrevqczpqxehuruavmnqhzbhjokdbdzkatuxxitxgauanz", "wacqtkukcxurcjxvsruavmnqhzbhjokdbrhfxncvennxjkbolr"
+    _, _, _, mini, seg = suffix_dedup.segments(*common.text_buffers(pa.array([a, b])))
+    assert mini[0] == mini[1] and seg[0] != seg[1] and (seg[0] ^ seg[1]) & np.uint64(0xFFFFFFFF) == 0
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.deduplicate(frame(spark, [(1, a), (2, b), (3, b)])).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+
+
 def test_suffix_dedup_edges(spark):
     rows = [r for r in EDGES if r[0] is not None]
     got = sorted(tuple(r) for r in suffix_dedup.deduplicate(frame(spark, EDGES)).collect() if r.doc_id is not None)

@@ -5,7 +5,7 @@ bytes belongs to its minimiser, the smallest of the hashed `gram`-byte strings i
 on the window's content alone; neighbouring windows with one minimiser form a segment of less than twice `span` bytes. Equal
 windows therefore lie in segments with equal minimisers, so that comparing segments minimiser by minimiser loses nothing.
 
-Segments with equal bytes form a class, whose smallest document keeps it. Classes that share a minimiser go to a suffix array:
+Segments with equal bytes (minimiser, 64-bit hash and size) form a class, whose smallest document keeps it. Classes that share a minimiser go to a suffix array:
 their bytes are laid end to end; only suffixes smaller than their successors are sorted directly; one scan over the buckets of
 first bytes induces the rest; common prefixes of neighbours in the array join equal windows, and each window whose smallest
 document is another goes. A minimiser with more than `many` classes is split into its windows, dealt by their own hash, so
@@ -77,12 +77,12 @@ def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int
     return row, first - offsets[row], end - first, mini, span_hash(data, first, end)
 
 
-def classes(mini: np.ndarray, seg: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def classes(mini: np.ndarray, seg: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order by (minimiser, segment, document), where classes begin in it, and which entries belong to a class's smallest document."""
     order = np.lexsort((doc, seg, mini))
-    m, s, d = mini[order], seg[order], doc[order]
+    m, s, n, d = mini[order], seg[order], size[order], doc[order]
     new = np.ones(len(order), bool)
-    new[1:] = (m[1:] != m[:-1]) | (s[1:] != s[:-1])
+    new[1:] = (m[1:] != m[:-1]) | (s[1:] != s[:-1]) | (n[1:] != n[:-1])
     head = np.flatnonzero(new)
     lowest = np.repeat(d[head], np.diff(np.append(head, len(order))))
     return order, head, d == lowest
@@ -93,18 +93,18 @@ def pack(mini, seg, doc, start, size) -> bytes:
     order = np.lexsort((start, doc))
     doc = doc[order]
     step = np.diff(doc, prepend=doc[:1])
-    return b"".join([np.array([len(order), doc[0]], np.int64).tobytes(), mini[order].tobytes(), seg[order].astype(np.uint32).tobytes(), step.tobytes(), start[order].astype(np.uint32).tobytes(), size[order].astype(np.uint8).tobytes()])
+    return b"".join([np.array([len(order), doc[0]], np.int64).tobytes(), mini[order].tobytes(), seg[order].tobytes(), step.tobytes(), start[order].astype(np.uint32).tobytes(), size[order].astype(np.uint8).tobytes()])
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, ...]:
     n, first = np.frombuffer(raw, np.int64, 2)
     at = 16
     out = []
-    for kind in (np.uint64, np.uint32, np.int64, np.uint32, np.uint8):
+    for kind in (np.uint64, np.uint64, np.int64, np.uint32, np.uint8):
         out.append(np.frombuffer(raw, kind, n, at))
         at += int(n) * np.dtype(kind).itemsize
     mini, seg, step, start, size = out
-    return mini, seg.astype(np.uint64), first + np.cumsum(step), start.astype(np.int64), size.astype(np.int64)
+    return mini, seg, first + np.cumsum(step), start.astype(np.int64), size.astype(np.int64)
 
 
 def below(text: np.ndarray) -> np.ndarray:
@@ -231,7 +231,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         mini, seg, doc, start, size = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, _, keep = classes(mini, seg, doc)
+        order, _, keep = classes(mini, seg, size, doc)
         gone, order = order[~keep], order[keep]
         if len(gone):
             m = len(gone)
@@ -251,7 +251,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             data, offsets = text_buffers(part.column(1))
             row, start, size, mini, seg = segments(data, offsets, span)
             if len(row):
-                held.append((mini, seg & np.uint64(0xFFFFFFFF), part.column(0).to_numpy()[row], start, size))
+                held.append((mini, seg, part.column(0).to_numpy()[row], start, size))
                 n += len(row)
             if n > 2_000_000:
                 yield from flush(held)
@@ -265,7 +265,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def settle(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         """One bucket: spans that go (kind 0), and segments for the suffix array (kind 1; 2 to be split into windows)."""
         mini, seg, doc, start, size = (np.concatenate(x) for x in zip(*map(unpack, held), strict=True))
-        order, head, keep = classes(mini, seg, doc)
+        order, head, keep = classes(mini, seg, size, doc)
         gone = order[~keep]
         if len(gone):
             m = len(gone)
