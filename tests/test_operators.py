@@ -171,6 +171,17 @@ def test_density_clusters():
     assert len(set(got[:40])) == 1 and len(set(got[40:80])) == 1 and got[0] != got[40] and got[0] >= 0
 
 
+def test_lda_query_makes_twenty_whole_passes(spark, monkeypatch):
+    from pyspark.ml.clustering import LDA
+
+    from tidemark.plans import text_queries
+
+    seen, fit = [], LDA._fit
+    monkeypatch.setattr(LDA, "_fit", lambda self, data: (seen.append((self.getMaxIter(), self.getSubsamplingRate())), fit(self, data))[1])
+    assert text_queries.lda_topics(spark, "/root/testdata/sf0.001").count() == 5
+    assert seen == [(20, 1.0)]
+
+
 def test_labels_and_coherence(spark):
     df = texts(spark, "apple banana apple cherry", "apple banana", "banana apple").withColumn("c", F.lit(1))
     assert topics.labels(df, "c").first().label == "apple, banana, cherry"

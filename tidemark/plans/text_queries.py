@@ -392,4 +392,4 @@ def tfidf_kmeans(spark, sf):
 
 @plan(None)
 def lda_topics(spark, sf):
-    return topics.lda(docs(spark, sf), 5, iterations=5)[1]
+    return topics.lda(docs(spark, sf), 5)[1]
