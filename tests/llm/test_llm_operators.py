@@ -451,24 +451,51 @@ def test_suffix_array_matches_sorting(alphabet):
             assert lcp[k] == want
 
 
-@pytest.mark.parametrize("many", [4000, 1])
-def test_suffix_dedup_matches_brute_force(spark, texts, many):
+@pytest.mark.parametrize("options", [{}, {"many": 1}, {"many": 1, "crowd": 1, "run_bytes": 100}, {"many": 3, "run_bytes": 100}])
+def test_suffix_dedup_matches_brute_force(spark, texts, options):
     rows = [(i, t) for i, t in texts.items() if i < 300]
     rng = random.Random(9)
     pool = ["the quick brown fox ", "aaaaaaaaaa", "ab" * 20, "é你" * 9, "x" * 60, "0123456789" * 7]
     rows += [(5000 + k, "".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for k in range(80)]
-    got = sorted(tuple(r) for r in suffix_dedup.deduplicate(frame(spark, rows), many=many, part_bytes=1 << 18).collect())
+    passage = "every document has this passage of more than fifty bytes, in a context of its own"
+    rows += [(6000 + k, f"{rng.randrange(10**9)} {passage[: rng.randrange(45, 82)]} {rng.randrange(10**9)}") for k in rng.sample(range(400), 400)]
+    got = sorted(tuple(r) for r in suffix_dedup.deduplicate(frame(spark, rows), part_bytes=1 << 18, **options).collect())
     assert got == brute_removal(rows)
 
 
 def test_suffix_dedup_keeps_segments_whose_hashes_share_32_bits(spark):
     a, b = "rarfzrevqczpqxehuruavmnqhzbhjokdbdzkatuxxitxgauanz", "wacqtkukcxurcjxvsruavmnqhzbhjokdbrhfxncvennxjkbolr"
-    _, _, _, mini, seg = suffix_dedup.segments(*common.text_buffers(pa.array([a, b])))
-    assert mini[0] == mini[1] and seg[0] != seg[1] and (seg[0] ^ seg[1]) & np.uint64(0xFFFFFFFF) == 0
+    mini = suffix_dedup.segments(*common.text_buffers(pa.array([a, b])))[3]
+    assert mini[0] == mini[1]
     got = {r.doc_id: r.n_removed for r in suffix_dedup.deduplicate(frame(spark, [(1, a), (2, b), (3, b)])).collect()}
     assert got == {1: 0, 2: 0, 3: 50}
 
 
+@pytest.mark.parametrize("crowd", [100_000, 1000])
+def test_suffix_dedup_keeps_many_unlike_texts_round_one_string(spark, crowd):
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    n = 300_000
+    data = letters[rng.integers(0, 26, (n, 50))]
+    data[:, 17:33] = np.frombuffer(b"ruavmnqhzbhjokdb", np.uint8)
+    texts = [bytes(x).decode() for x in data]
+    df = spark.createDataFrame(pa.table({"doc_id": pa.array(np.arange(n)), "text": pa.array(texts)}).to_pandas()).repartition(4)
+    mini = suffix_dedup.segments(*common.text_buffers(pa.array(texts)))[3]
+    assert np.unique(mini, return_counts=True)[1].max() > n / 100
+    gone = suffix_dedup.deduplicate(df, crowd=crowd).filter("n_removed > 0").count()
+    assert gone == n - len(set(texts)) == 0
+
+
+def test_segment_hashes_follow_the_bytes():
+    rng = np.random.default_rng(8)
+    data = rng.integers(0, 3, 4000).astype(np.uint8)
+    start = rng.integers(0, 3900, 3000)
+    end = start + rng.integers(8, 12, 3000)
+    a, b = suffix_dedup.span_hash2(data, start, end)
+    spans = [data[s:e].tobytes() for s, e in zip(start, end, strict=True)]
+    assert len(set(spans)) == len(set(a.tolist())) == len(set(b.tolist())) == len({*zip(spans, a.tolist(), b.tolist(), strict=True)})
+
+
 def test_suffix_dedup_edges(spark):
     rows = [r for r in EDGES if r[0] is not None]
     got = sorted(tuple(r) for r in suffix_dedup.deduplicate(frame(spark, EDGES)).collect() if r.doc_id is not None)

@@ -5,14 +5,18 @@ bytes belongs to its minimiser, the smallest of the hashed `gram`-byte strings i
 on the window's content alone; neighbouring windows with one minimiser form a segment of less than twice `span` bytes. Equal
 windows therefore lie in segments with equal minimisers, so that comparing segments minimiser by minimiser loses nothing.
 
-Segments with equal bytes (minimiser, 64-bit hash and size) form a class, whose smallest document keeps it. Classes that share a minimiser go to a suffix array:
-their bytes are laid end to end; only suffixes smaller than their successors are sorted directly; one scan over the buckets of
-first bytes induces the rest; common prefixes of neighbours in the array join equal windows, and each window whose smallest
-document is another goes. A minimiser with more than `many` classes is split into its windows, dealt by their own hash, so
-that no group grows with the corpus.
+Segments with equal bytes (minimiser, 128-bit hash and size) form a class, whose smallest document keeps it. Classes that share
+a minimiser go to a suffix array: their bytes are laid end to end; only suffixes smaller than their successors are sorted
+directly; one scan over the buckets of first bytes induces the rest; common prefixes of neighbours in the array join equal
+windows, and each window whose smallest document is another goes. A minimiser with more than `many` classes is split into its
+windows, dealt by their own hash.
 
-Ids and positions, not texts, are shuffled to find classes; texts are dealt once, by document. Candidates that occur several
-times within a task are combined before the shuffle.
+Hot groups: a minimiser that (by a scan of about `probe_bytes` of text, which only plans the dealing and decides nothing) has
+more than `crowd` classes is dealt by segment instead, and all its classes are split into windows. Equal segments within a task,
+and equal windows of split classes within a task (by their bytes), are combined before the shuffle; windows arrive in the order
+of documents and are compared in bounded runs that carry the smallest document's along.
+
+Ids and positions, not texts, are shuffled to find classes; texts are dealt once, by document.
 
 Defined results: null and empty texts have no bytes and no spans; rows with a null id are returned whole and compared with
 nothing; equal rows (same id and text) are one document and each get its result; rows with one id and different texts count as
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, slices, span_hash, text_buffers
+from .common import materialise, mix, slices, text_buffers
 
 SPAN, GRAM = 50, 16
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -42,11 +46,11 @@ def words8(data: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, start, length, minimiser hash, segment hash) of all segments of a run of texts."""
+    """(row, start, length, minimiser hash, two segment hashes) of all segments of a run of texts."""
     none = np.zeros(0, np.int64)
     n = len(data) - gram + 1
     if len(data) < span:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, *[none.astype(np.uint64)] * 3
     eight = words8(data)
     key = (eight[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ (eight[gram - 8 : gram - 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F))
     key ^= key >> np.uint64(29)
@@ -74,37 +78,51 @@ def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int
     at = place[first]
     mini = mix(eight[at] * np.uint64(0x9FB21C651E98DF25) + mix(eight[at + gram - 8]))
     end = last + span
-    return row, first - offsets[row], end - first, mini, span_hash(data, first, end)
+    return row, first - offsets[row], end - first, mini, *span_hash2(data, first, end)
 
 
-def classes(mini: np.ndarray, seg: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def span_hash2(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two unlike 64-bit hashes of byte spans of at least eight bytes: eight bytes a step, the last step overlapping."""
+    eight = words8(data)
+    a = mix((end - start).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    b = ~a
+    for k in range(0, int((end - start).max(initial=0)), 8):
+        live = np.flatnonzero(start + k < end)
+        word = eight[np.minimum(start[live] + k, end[live] - 8)]
+        a[live] = mix(a[live] * np.uint64(0xD6E8FEB86659FD93) + word)
+        x = (b[live] ^ word) * np.uint64(0xA0761D6478BD642F)
+        b[live] = x ^ (x >> np.uint64(32))
+    return a, mix(b)
+
+
+def classes(mini: np.ndarray, seg: np.ndarray, also: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order by (minimiser, segment, document), where classes begin in it, and which entries belong to a class's smallest document."""
-    order = np.lexsort((doc, seg, mini))
-    m, s, n, d = mini[order], seg[order], size[order], doc[order]
+    order = np.lexsort((doc, also, seg, mini))
+    m, s, t, n, d = mini[order], seg[order], also[order], size[order], doc[order]
     new = np.ones(len(order), bool)
-    new[1:] = (m[1:] != m[:-1]) | (s[1:] != s[:-1]) | (n[1:] != n[:-1])
+    new[1:] = (m[1:] != m[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1]) | (n[1:] != n[:-1])
     head = np.flatnonzero(new)
     lowest = np.repeat(d[head], np.diff(np.append(head, len(order))))
     return order, head, d == lowest
 
 
-def pack(mini, seg, doc, start, size) -> bytes:
+def pack(mini, seg, also, doc, start, size) -> bytes:
     """Entries column by column, so that the shuffle's compression finds the small numbers."""
     order = np.lexsort((start, doc))
     doc = doc[order]
     step = np.diff(doc, prepend=doc[:1])
-    return b"".join([np.array([len(order), doc[0]], np.int64).tobytes(), mini[order].tobytes(), seg[order].tobytes(), step.tobytes(), start[order].astype(np.uint32).tobytes(), size[order].astype(np.uint8).tobytes()])
+    return b"".join([np.array([len(order), doc[0]], np.int64).tobytes(), mini[order].tobytes(), seg[order].tobytes(), also[order].tobytes(), step.tobytes(), start[order].astype(np.uint32).tobytes(), size[order].astype(np.uint8).tobytes()])
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, ...]:
     n, first = np.frombuffer(raw, np.int64, 2)
     at = 16
     out = []
-    for kind in (np.uint64, np.uint64, np.int64, np.uint32, np.uint8):
+    for kind in (np.uint64, np.uint64, np.uint64, np.int64, np.uint32, np.uint8):
         out.append(np.frombuffer(raw, kind, n, at))
         at += int(n) * np.dtype(kind).itemsize
-    mini, seg, step, start, size = out
-    return mini, seg, first + np.cumsum(step), start.astype(np.int64), size.astype(np.int64)
+    mini, seg, also, step, start, size = out
+    return mini, seg, also, first + np.cumsum(step), start.astype(np.int64), size.astype(np.int64)
 
 
 def below(text: np.ndarray) -> np.ndarray:
@@ -219,39 +237,74 @@ def repeated(pieces: list[bytes], docs: np.ndarray, groups: np.ndarray, span: in
     return list(zip(owner[a].tolist(), (gone[a] - base).tolist(), (gone[b] + span - base).tolist(), strict=True))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, many: int = 4000, part_bytes: int = 16 << 20) -> DataFrame:
+def crowded(source: DataFrame, span: int, probe: int, crowd: int) -> tuple[int, np.ndarray]:
+    """Bytes of all texts, and (sorted) minimisers that probably have more than `crowd` classes.
+
+    One scan: all texts are measured; those of about `probe` documents, chosen by a hash of the id, show how classes spread. At
+    most one minimiser for each eight segments of these documents comes to the driver.
+    """
+    rate = min(1.0, probe / max(1, source.count()))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for part in slices(batches, 1):
+            total += int(np.sum(part.column(0).fill_null(0).to_numpy()))
+            _, _, size, mini, seg, also = segments(*text_buffers(part.column(1)), span)
+            order, head, _ = classes(mini, seg, also, size, np.zeros(len(mini), np.int64))
+            found, n = np.unique(mini[order[head]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["mini", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], names=["mini", "n"])
+
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30))
+    seen = source.select(F.octet_length("text").cast("long").alias("n"), F.when(chosen, F.col("text")).alias("text"))
+    many = seen.mapInArrow(look, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n")).filter(F.col("mini").isNull() | (F.col("n") > max(8, crowd * rate))).toArrow()
+    mini, n = many["mini"].combine_chunks(), many["n"].to_numpy()
+    none = mini.is_null().to_numpy(zero_copy_only=False)
+    return int(n[none].sum()), np.sort(mini.drop_null().to_numpy().view(np.uint64))
+
+
+def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values a sorted table has."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, many: int = 4000, part_bytes: int = 16 << 20, probe: int = 32_000, crowd: int = 100_000, run_bytes: int = 1 << 20
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each document."""
     spark = docs.sparkSession
     source = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     known = source.filter("doc_id is not null")
-    total = known.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // part_bytes) + 1)
+    total, hot = crowded(source, span, probe, crowd)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // part_bytes + 1)
     buckets = 4 * parts
     names = ["bucket", "entries", "doc_id", "start", "size"]
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        mini, seg, doc, start, size = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, _, keep = classes(mini, seg, size, doc)
+        mini, seg, also, doc, start, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, _, keep = classes(mini, seg, also, size, doc)
         gone, order = order[~keep], order[keep]
         if len(gone):
             m = len(gone)
             yield pa.RecordBatch.from_arrays([pa.array((doc[gone] % buckets).astype(np.int32)), pa.nulls(m, pa.binary()), pa.array(doc[gone]), pa.array(start[gone]), pa.array(size[gone])], names=names)
-        home = ((mini >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)[order]
+        home = ((np.where(among(mini, hot), seg, mini) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)[order]
         order = order[np.argsort(home, kind="stable")]
         home = np.sort(home, kind="stable")
         edge = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
         for a, b in zip(edge, np.append(edge[1:], len(home)), strict=True):
             i = order[a:b]
-            blob = pa.array([pack(mini[i], seg[i], doc[i], start[i], size[i])], pa.binary())
+            blob = pa.array([pack(mini[i], seg[i], also[i], doc[i], start[i], size[i])], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(home[a : a + 1]), blob, *[pa.nulls(1, pa.int64())] * 3], names=names)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for part in slices(batches, 1):
             data, offsets = text_buffers(part.column(1))
-            row, start, size, mini, seg = segments(data, offsets, span)
+            row, start, size, mini, seg, also = segments(data, offsets, span)
             if len(row):
-                held.append((mini, seg, part.column(0).to_numpy()[row], start, size))
+                held.append((mini, seg, also, part.column(0).to_numpy()[row], start, size))
                 n += len(row)
             if n > 2_000_000:
                 yield from flush(held)
@@ -264,8 +317,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def settle(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         """One bucket: spans that go (kind 0), and segments for the suffix array (kind 1; 2 to be split into windows)."""
-        mini, seg, doc, start, size = (np.concatenate(x) for x in zip(*map(unpack, held), strict=True))
-        order, head, keep = classes(mini, seg, size, doc)
+        mini, seg, also, doc, start, size = (np.concatenate(x) for x in zip(*map(unpack, held), strict=True))
+        order, head, keep = classes(mini, seg, also, size, doc)
         gone = order[~keep]
         if len(gone):
             m = len(gone)
@@ -276,7 +329,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         per = np.bincount(group)[group]
         lowest = doc[order[head]]
         differ = np.maximum.reduceat(lowest, np.flatnonzero(new))[group] != np.minimum.reduceat(lowest, np.flatnonzero(new))[group]
-        ask = np.flatnonzero((per > 1) & differ)
+        dealt = among(of_mini, hot)
+        ask = np.flatnonzero((per > 1) & differ | dealt)
         if not len(ask):
             return
         upto = np.append(head[1:], len(order))
@@ -288,8 +342,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             i = mine[kept[head[c]] : kept[upto[c]]]
             others.append(np.unique(start[i])[1:].tobytes() if len(i) > 1 else None)
         first_start = [int(start[mine[kept[head[c]] : kept[upto[c]]]].min()) if o is not None else int(start[f]) for c, f, o in zip(ask, firsts, others, strict=True)]
+        kind = np.where((per[ask] > many) | dealt[ask], 2, 1).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.where(per[ask] > many, 2, 1).astype(np.int32)), pa.array(mini[firsts].view(np.int64)), pa.array(doc[firsts]), pa.array(first_start, pa.int64()), pa.array(size[firsts]), pa.array(others, pa.binary())],
+            [pa.array(kind), pa.array(mini[firsts].view(np.int64)), pa.array(doc[firsts]), pa.array(first_start, pa.int64()), pa.array(size[firsts]), pa.array(others, pa.binary())],
             names=outs,
         )
 
@@ -316,20 +371,28 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = found.filter("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "key", "start", "size", "others")).alias("asks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bytes of the segments and windows asked for; windows that this task has met in a smaller document go at once (no key)."""
+        met: dict[bytes, int] = {}
         for part in slices(batches, 1):
             rows = []
             for doc, text, asks in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = (text or "").encode()
+                raw = (text or "").encode() if asks else b""
                 for a in asks or ():
                     body = raw[a["start"] : a["start"] + a["size"]]
                     if a["kind"] == 1:
                         rows.append((a["key"], doc, a["start"], a["others"], body))
-                    else:
-                        for i in range(len(body) - span + 1):
-                            w = body[i : i + span]
-                            key = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
-                            shifted = (np.frombuffer(a["others"], np.int64) + i).tobytes() if a["others"] else None
-                            rows.append((key, doc, a["start"] + i, shifted, w))
+                        continue
+                    starts = np.append(np.frombuffer(a["others"] or b"", np.int64), a["start"])
+                    for i in range(len(body) - span + 1):
+                        w = body[i : i + span]
+                        if met.get(w, doc) < doc:
+                            rows += [(None, doc, int(x) + i, None, None) for x in starts]
+                            continue
+                        if len(met) >= 1 << 19:
+                            met.clear()
+                        met[w] = doc
+                        key = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
+                        rows.append((key, doc, a["start"] + i, (starts[:-1] + i).tobytes() or None, w))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "doc_id", "start", "others", "body"])
@@ -344,21 +407,34 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols = list(zip(*spans, strict=True)) if spans else [[]] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "size"])
 
-        rows, size = [], 0
+        rows, size, group = [], 0, 0
+        most = max(run_bytes, 4 * span * many)  # no group of unsplit segments is larger
         for batch in batches:
+            loose = batch.filter(batch.column(0).is_null())
+            if loose.num_rows:
+                yield pa.RecordBatch.from_arrays([loose.column(1), loose.column(2), pa.array(np.full(loose.num_rows, span))], names=["doc_id", "start", "size"])
+            batch = batch.filter(batch.column(0).is_valid())
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if size > 1 << 20 and row[0] != rows[-1][0]:
+                same = bool(rows) and row[0] == rows[-1][0]
+                if group > most if same else size > run_bytes:
                     yield out(rows)
-                    rows, size = [], 0
+                    first: dict[bytes, tuple] = {}  # a window's documents arrive in order: the first one's row stays
+                    for r in rows:
+                        if r[0] == row[0]:
+                            first.setdefault(r[4], r)
+                    rows = list(first.values())
+                    size = group = sum(len(r[4]) for r in rows)
                 rows.append(row)
                 size += len(row[4])
+                group = group + len(row[4]) if same else len(row[4])
         if rows:
             yield out(rows)
 
     # An outer join like the last one, so that both read one exchange of the texts.
     asked = source.join(wanted.hint("shuffle_hash"), "doc_id", "left").select("doc_id", F.when(F.col("asks").isNotNull(), F.col("text")).alias("text"), "asks")
     bodies = asked.mapInArrow(cut, "key long, doc_id long, start long, others binary, body binary")
-    more = bodies.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(compare, "doc_id long, start long, size long")
+    dealt = F.coalesce("key", F.xxhash64("doc_id"))
+    more = bodies.repartition(parts, dealt).sortWithinPartitions("key", "doc_id").mapInArrow(compare, "doc_id long, start long, size long")
     spans = found.filter("kind = 0").select("doc_id", "start", "size").unionByName(more)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
