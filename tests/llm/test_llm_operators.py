@@ -45,6 +45,15 @@ def test_words_and_hashes_follow_the_contract():
     assert h[0] == h[1] != h[2] and h[3] == h[4]
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_is_the_plain_join(spark, how):
+    rows = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 0 else id % 40 end k")
+    groups = spark.createDataFrame([(0, "a"), (0, "b"), (7, "c"), (50, "d")], "k long, v string")
+    counts = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    got = common.spread_join(rows, groups, "k", counts, 3000, "id", how, share=16, least=20, salts=5).select("id", "k", "v")
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(groups, "k", how).select("id", "k", "v").collect()))
+
+
 # 1 ------------------------------------------------------------------------------------------------------------------
 
 

@@ -6,10 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the contracts: space and \t \n \v \f \r; every other byte belongs to a word.
 WHITE = np.zeros(256, bool)
@@ -21,13 +23,16 @@ LOWER[65:91] += 32
 SLICE_BYTES = 4 << 20
 
 _OWN_DIR: list[str] = []
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where that is unset (tests on one machine), a temporary one."""
+    """The folder that spark.checkpoint.dir names. A temporary one where that is unset, on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="tidemark-"))
     return _OWN_DIR[0]
@@ -38,7 +43,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise wrote and no later plan reads."""
+    for df in tables:
+        path = _WRITTEN.pop(df, None)
+        if path:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, counts: DataFrame, total: int, by: str, how: str = "inner", share: int = 512, least: int = 500, salts: int = 32) -> DataFrame:
+    """rows joined with groups on key, the rows of large keys dealt to `salts` tasks each by a hash of column `by`.
+
+    counts (key, n) says how many rows a key has. Large is a key with `least` rows or more and over a `share`-th of all `total`
+    rows: there are fewer than `share` such keys, which bounds what is broadcast. Rows of groups with large keys are repeated
+    for each salt. This only deals rows: the result is the plain join's.
+    """
+    large = F.broadcast(counts.filter(F.col("n") > max(total // share, least - 1)).select(key, F.lit(True).alias("_large")))
+    salt = F.when(F.col("_large"), F.pmod(F.xxhash64(by, F.lit(3)), F.lit(salts))).otherwise(0)
+    salted = rows.join(large, key, "left").withColumn("_salt", salt.cast("int")).drop("_large")
+    copies = F.when(F.col("_large"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    dealt = groups.join(large, key, "left").withColumn("_salt", F.explode(copies)).drop("_large")
+    return salted.join(dealt, [key, "_salt"], how).drop("_salt")
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

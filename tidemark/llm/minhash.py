@@ -3,17 +3,18 @@
 Words (ASCII lower-cased) form five-word shingles; a text's set of 64-bit shingle hashes gives a signature of `symbols`
 minima, `b` bits each. Two signatures within `radius` differing symbols, split into `chunks` pieces, must agree in at least
 one piece up to floor(radius / chunks) symbols; each piece is therefore emitted once for every choice of that many symbols
-left out, so that equal keys find every pair within the radius. Candidates within the radius are confirmed on full sets.
-At a Jaccard similarity of 0.75, 96 symbols differ in 24 on average (deviation 4.2), so the radius 43 misses about two pairs
-in a million that lie exactly on the threshold.
+left out, so that equal keys find every pair within the radius. All candidates are confirmed on full sets, those beyond the
+radius that a key found by the way too. At a Jaccard similarity of 0.75, 96 symbols differ in 24 on average (deviation 4.2):
+the radius 43 misses about eight in a million of the pairs that lie exactly on the threshold.
 
 Groups are never expanded into all pairs. Texts with equal sets are one class. Within a key's group, members are first tried
 against the member that shares most keys with others (the text that the group's copies come from, as a rule). Groups that are
 then still in several components are compared exactly, block against block, in memory: only links come out, so that none that
-could join two components is lost. A key's group holds at most one in `symbols` of all key rows, whatever the data.
+could join two components is lost. What belongs to a key, a class, a hub or a family is counted by aggregation and joined back
+with the rows of large ones dealt to many tasks; no group is sorted or held whole.
 
 Defined results: null and empty texts have an empty set, are linked with nothing and kept; fewer than five words form one
-shingle; repeated rows give a row each (rows with equal ids share a component); null ids get a null component and are kept;
+shingle; repeated rows give a row each (rows with equal ids share a component, whatever their texts); null ids get a null component and are kept;
 only the id and text columns are read; an empty table gives an empty table.
 """
 
@@ -25,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, grams, materialise, mix, scan, slices, span_hash, text_buffers
+from .common import LOWER, discard, grams, materialise, mix, scan, slices, span_hash, spread_join, text_buffers
 
 SIZE = 5
 
@@ -126,19 +127,16 @@ def keys(sigs: DataFrame, symbols: int, radius: int, chunks: int) -> DataFrame:
     return sigs.select("doc_id", "sig").mapInArrow(work, "key long, doc_id long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, symbols: int, radius: int, percent: int) -> DataFrame:
-    """Pairs (a, b) within the signature radius whose sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"), F.col("sig").alias("ga"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"), F.col("sig").alias("gb"))
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, sa, sb, ga, gb = (batch.column(i) for i in range(6))
+            a, b, sa, sb = (batch.column(i) for i in range(4))
             good = []
             for i in range(batch.num_rows):
-                x, y = np.frombuffer(ga[i].as_py(), np.uint16), np.frombuffer(gb[i].as_py(), np.uint16)
-                if (x != y).sum() > radius:
-                    continue
                 x, y = np.frombuffer(sa[i].as_py(), np.uint64), np.frombuffer(sb[i].as_py(), np.uint64)
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
@@ -148,7 +146,8 @@ def verify(pairs: DataFrame, sets: DataFrame, symbols: int, radius: int, percent
             take = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([a.take(take), b.take(take)], names=["a", "b"])
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "ga", "gb")
+    hubs = materialise(pairs.groupBy("a").agg(F.count("*").alias("n")), "hubs")
+    joined = spread_join(pairs.join(right, "b"), left, "a", hubs, pairs.count(), "b").select("a", "b", "sa", "sb")
     return joined.mapInArrow(work, "a long, b long")
 
 
@@ -156,16 +155,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node reachable, by label propagation with pointer jumping; rounds grow with the logarithm of the diameter."""
     both = edges.selectExpr(f"{a} src", f"{b} dst").union(edges.selectExpr(f"{b} src", f"{a} dst"))
     both = materialise(both.distinct(), "edges")
+    degree = materialise(both.groupBy("dst").agg(F.count("*").alias("n")), "degrees")
     labels = materialise(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).selectExpr("node", "least(node, m) root"), "labels")
+    links, nodes = both.count(), labels.count()
     while True:
-        heard = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("root").alias("m"))
-        near = labels.join(heard, labels.node == heard.src).selectExpr("node", "root old", "least(root, m) root")
-        up = labels.selectExpr("node parent", "root top")
-        labels2 = materialise(near.join(up, near.root == up.parent).selectExpr("node", "least(root, top) root", "old"), "labels")
+        heard = spread_join(both, labels.selectExpr("node dst", "root"), "dst", degree, links, "src").groupBy("src").agg(F.min("root").alias("m"))
+        near = materialise(labels.join(heard, labels.node == heard.src).selectExpr("node", "root old", "least(root, m) root"), "near")
+        up = labels.selectExpr("node root", "root top")
+        taken = near.groupBy("root").agg(F.count("*").alias("n"))
+        labels2 = materialise(spread_join(near, up, "root", taken, nodes, "node").selectExpr("node", "least(root, top) root", "old"), "labels")
         moved = labels2.filter("root <> old").limit(1).count()
-        labels = labels2.select("node", "root")
+        discard(near, labels)
         if not moved:
-            return labels
+            discard(both, degree)
+            return labels2.select("node", "root")
+        labels = labels2
 
 
 def cross_links(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -205,12 +209,13 @@ def open_links(open_: DataFrame, sets: DataFrame, percent: int, block_bytes: int
     Texts connected by keys form a family. A family larger than a block is cut into blocks by a hash; every two blocks meet in one
     task, which compares their texts in memory and puts out links only.
     """
-    first = F.min("doc_id").over(Window.partitionBy("key"))
-    near = open_.withColumn("a", first).filter("a <> doc_id").selectExpr("a", "doc_id b").distinct()
+    counts = materialise(open_.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a")), "counts")
+    near = spread_join(open_, counts.select("key", "a"), "key", counts, open_.count(), "doc_id").filter("a <> doc_id").selectExpr("a", "doc_id b").distinct()
     family = components(near).selectExpr("node doc_id", "root family")
     rows = open_.select("doc_id", "root").distinct().join(family, "doc_id").join(sets.select("doc_id", "shingles"), "doc_id")
-    sizes = rows.groupBy("family").agg(F.ceil(F.sum(F.length("shingles")) / block_bytes).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    sizes = family.join(sets.selectExpr("doc_id", "length(shingles) bytes"), "doc_id").groupBy("family")
+    sizes = materialise(sizes.agg(F.count("*").alias("n"), F.greatest(F.ceil(F.sum("bytes") / block_bytes), F.lit(1)).cast("int").alias("blocks")), "families")
+    rows = spread_join(rows, sizes.select("family", "blocks"), "family", sizes, family.count(), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.selectExpr("family", "least(own, other) i", "greatest(own, other) j", "doc_id", "root", "shingles")
 
@@ -236,37 +241,41 @@ def near_duplicates(
     docs = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     prof = materialise(profiles(docs, symbols), "profiles")
     known = prof.filter("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    reps = materialise(classes.selectExpr("rep doc_id", "digest", "sig"), "classes")
-
-    of_key = Window.partitionBy("key")
-    shared = materialise(keys(reps, symbols, radius, chunks).withColumn("n", F.count("*").over(of_key)).filter("n > 1"), "shared")
-    degree = shared.groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    shared = materialise(shared.drop("n").join(degree, "doc_id"), "shared")
-    hub = F.max(F.struct("degree", (-F.col("doc_id")).alias("id"))).over(of_key)
-    tried = materialise(shared.withColumn("a", -hub["id"]).filter("a <> doc_id").selectExpr("a", "doc_id b").distinct(), "pairs")
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("n"))
+    reps = materialise(classes.selectExpr("rep doc_id", "digest", "sig", "n"), "classes")
+
+    keyed, rows = keys(reps, symbols, radius, chunks), reps.count() * len(pieces(symbols, radius, chunks))
+    counts = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    met = materialise(spread_join(keyed, counts, "key", counts, rows, "doc_id"), "met")
+    degree = materialise(met.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degrees")
+    met_rows = met.count()
+    hub = F.max(F.struct("degree", (-F.col("doc_id")).alias("id")))
+    hubs = materialise(met.join(degree, "doc_id").groupBy("key").agg(F.count("*").alias("n"), hub.alias("hub")).selectExpr("key", "n", "-hub.id a"), "hubs")
+    shared = met.select("key", "doc_id")
+    tried = spread_join(shared, hubs.select("key", "a"), "key", hubs, met_rows, "doc_id").filter("a <> doc_id").selectExpr("a", "doc_id b")
+    tried = materialise(tried.distinct(), "pairs")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            found = shingle_sets(part.column(1))
-            sig = signatures(found, symbols)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())],
-                names=["doc_id", "shingles", "sig"],
-            )
+            found = pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), found], names=["doc_id", "shingles"])
 
     texts = docs.join(degree.select("doc_id"), "doc_id", "left_semi")
-    sets = materialise(texts.mapInArrow(work, "doc_id long, shingles binary, sig binary"), "sets")
-    links = materialise(verify(tried, sets, symbols, radius, percent), "links")
-    roots = components(links)
+    sets = materialise(texts.mapInArrow(work, "doc_id long, shingles binary"), "sets")
+    links = materialise(verify(tried, sets, percent), "links")
+    discard(counts, degree, tried)
+    roots = materialise(components(links), "roots")
 
     seen = shared.join(roots, F.col("doc_id") == F.col("node"), "left").selectExpr("key", "doc_id", "coalesce(root, doc_id) root")
-    open_ = seen.withColumns({"lo": F.min("root").over(of_key), "hi": F.max("root").over(of_key)}).filter("lo < hi").select("key", "doc_id", "root")
+    seen = materialise(seen, "seen")
+    split = materialise(seen.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key", "n"), "split")
+    open_ = spread_join(seen, split.select("key"), "key", split, met_rows, "doc_id").select("key", "doc_id", "root")
     more = materialise(open_links(materialise(open_, "open"), sets, percent), "links")
+    discard(met, hubs, seen, split, roots)
     roots = components(links.union(more))
 
     owner = reps.join(roots, F.col("doc_id") == F.col("node"), "left").selectExpr("digest", "coalesce(root, doc_id) root")
-    out = prof.join(owner, "digest", "left")
+    out = spread_join(prof, owner, "digest", reps.select("digest", "n"), prof.count(), "doc_id", "left")
     comp = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
     comp = F.when(F.col("doc_id").isNotNull(), comp)
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
