@@ -6,7 +6,7 @@ on the window's content alone; neighbouring windows with one minimiser form a se
 windows therefore lie in segments with equal minimisers, so that comparing segments minimiser by minimiser loses nothing.
 
 Segments with equal bytes (minimiser, 128-bit hash and size) form a class, whose smallest document keeps it. Classes that share
-a minimiser go to a suffix array: their bytes are laid end to end; only suffixes smaller than their successors are sorted
+a minimiser and the bytes next to it on one side, as all that share a window do, go to a suffix array: their bytes are laid end to end; only suffixes smaller than their successors are sorted
 directly; one scan over the buckets of first bytes induces the rest; common prefixes of neighbours in the array join equal
 windows, and each window whose smallest document is another goes. A minimiser with more than `many` classes is split into its
 windows, dealt by their own hash.
@@ -46,11 +46,11 @@ def words8(data: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, start, length, minimiser hash, two segment hashes) of all segments of a run of texts."""
+    """(row, start, length, minimiser hash, two segment hashes, hash of its sides) of all segments of a run of texts."""
     none = np.zeros(0, np.int64)
     n = len(data) - gram + 1
     if len(data) < span:
-        return none, none, none, *[none.astype(np.uint64)] * 3
+        return none, none, none, *[none.astype(np.uint64)] * 4
     eight = words8(data)
     key = (eight[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ (eight[gram - 8 : gram - 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F))
     key ^= key >> np.uint64(29)
@@ -78,7 +78,38 @@ def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int
     at = place[first]
     mini = mix(eight[at] * np.uint64(0x9FB21C651E98DF25) + mix(eight[at + gram - 8]))
     end = last + span
-    return row, first - offsets[row], end - first, mini, *span_hash2(data, first, end)
+    return row, first - offsets[row], end - first, mini, *span_hash2(data, first, end), sides(eight, first, end, at, span, gram)
+
+
+def sides(eight: np.ndarray, first: np.ndarray, end: np.ndarray, at: np.ndarray, span: int, gram: int) -> np.ndarray:
+    """Hashes of the bytes next to the minimiser, left in the upper and right in the lower half; 0 where the segment ends before.
+
+    A window has span - gram bytes besides its minimiser, so that at least half of them lie on one side: segments that share a
+    window share that side's half. Halves too short to read are all alike.
+    """
+    half = (span - gram) // 2
+    out = []
+    for inside, begin in ((at - half >= first, at - half), (at + gram + half <= end, at + gram)):
+        h = np.zeros(len(at), np.uint64)
+        for k in (*range(0, half - 8, 8), half - 8) if half >= 8 else ():
+            h = mix(h * np.uint64(0x9FB21C651E98DF25) + eight[np.where(inside, begin + k, 0)])
+        out.append(np.where(inside, (h >> np.uint64(32)) | np.uint64(1), np.uint64(0)))
+    return (out[0] << np.uint64(32)) | out[1]
+
+
+def met(mini: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which entries share minimiser and (not empty) side with an entry of another document."""
+    out = np.zeros(len(mini), bool)
+    live = np.flatnonzero(side)
+    if not len(live):
+        return out
+    key = mix(mini[live] ^ (side[live] * np.uint64(0xD6E8FEB86659FD93)))
+    order = np.argsort(key)
+    live, key = live[order], key[order]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    unlike = np.maximum.reduceat(doc[live], head) != np.minimum.reduceat(doc[live], head)
+    out[live] = np.repeat(unlike, np.diff(np.append(head, len(live))))
+    return out
 
 
 def span_hash2(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,23 +137,23 @@ def classes(mini: np.ndarray, seg: np.ndarray, also: np.ndarray, size: np.ndarra
     return order, head, d == lowest
 
 
-def pack(mini, seg, also, doc, start, size) -> bytes:
+def pack(mini, seg, also, side, doc, start, size) -> bytes:
     """Entries column by column, so that the shuffle's compression finds the small numbers."""
     order = np.lexsort((start, doc))
     doc = doc[order]
     step = np.diff(doc, prepend=doc[:1])
-    return b"".join([np.array([len(order), doc[0]], np.int64).tobytes(), mini[order].tobytes(), seg[order].tobytes(), also[order].tobytes(), step.tobytes(), start[order].astype(np.uint32).tobytes(), size[order].astype(np.uint8).tobytes()])
+    return b"".join([np.array([len(order), doc[0]], np.int64).tobytes(), mini[order].tobytes(), seg[order].tobytes(), also[order].tobytes(), side[order].tobytes(), step.tobytes(), start[order].astype(np.uint32).tobytes(), size[order].astype(np.uint8).tobytes()])
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, ...]:
     n, first = np.frombuffer(raw, np.int64, 2)
     at = 16
     out = []
-    for kind in (np.uint64, np.uint64, np.uint64, np.int64, np.uint32, np.uint8):
+    for kind in (np.uint64, np.uint64, np.uint64, np.uint64, np.int64, np.uint32, np.uint8):
         out.append(np.frombuffer(raw, kind, n, at))
         at += int(n) * np.dtype(kind).itemsize
-    mini, seg, also, step, start, size = out
-    return mini, seg, also, first + np.cumsum(step), start.astype(np.int64), size.astype(np.int64)
+    mini, seg, also, side, step, start, size = out
+    return mini, seg, also, side, first + np.cumsum(step), start.astype(np.int64), size.astype(np.int64)
 
 
 def below(text: np.ndarray) -> np.ndarray:
@@ -249,7 +280,7 @@ def crowded(source: DataFrame, span: int, probe: int, crowd: int) -> tuple[int,
         total = 0
         for part in slices(batches, 1):
             total += int(np.sum(part.column(0).fill_null(0).to_numpy()))
-            _, _, size, mini, seg, also = segments(*text_buffers(part.column(1)), span)
+            _, _, size, mini, seg, also, _ = segments(*text_buffers(part.column(1)), span)
             order, head, _ = classes(mini, seg, also, size, np.zeros(len(mini), np.int64))
             found, n = np.unique(mini[order[head]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["mini", "n"])
@@ -283,7 +314,7 @@ def deduplicate(
     names = ["bucket", "entries", "doc_id", "start", "size"]
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        mini, seg, also, doc, start, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        mini, seg, also, side, doc, start, size = (np.concatenate(x) for x in zip(*held, strict=True))
         order, _, keep = classes(mini, seg, also, size, doc)
         gone, order = order[~keep], order[keep]
         if len(gone):
@@ -295,18 +326,18 @@ def deduplicate(
         edge = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
         for a, b in zip(edge, np.append(edge[1:], len(home)), strict=True):
             i = order[a:b]
-            blob = pa.array([pack(mini[i], seg[i], also[i], doc[i], start[i], size[i])], pa.binary())
+            blob = pa.array([pack(mini[i], seg[i], also[i], side[i], doc[i], start[i], size[i])], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(home[a : a + 1]), blob, *[pa.nulls(1, pa.int64())] * 3], names=names)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for part in slices(batches, 1):
             data, offsets = text_buffers(part.column(1))
-            row, start, size, mini, seg, also = segments(data, offsets, span)
+            row, start, size, mini, seg, also, side = segments(data, offsets, span)
             if len(row):
-                held.append((mini, seg, also, part.column(0).to_numpy()[row], start, size))
+                held.append((mini, seg, also, side, part.column(0).to_numpy()[row], start, size))
                 n += len(row)
-            if n > 2_000_000:
+            if n > 1_200_000:
                 yield from flush(held)
                 held, n = [], 0
         if held:
@@ -317,22 +348,20 @@ def deduplicate(
 
     def settle(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         """One bucket: spans that go (kind 0), and segments for the suffix array (kind 1; 2 to be split into windows)."""
-        mini, seg, also, doc, start, size = (np.concatenate(x) for x in zip(*map(unpack, held), strict=True))
+        mini, seg, also, side, doc, start, size = (np.concatenate(x) for x in zip(*map(unpack, held), strict=True))
         order, head, keep = classes(mini, seg, also, size, doc)
         gone = order[~keep]
         if len(gone):
             m = len(gone)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(doc[gone]), pa.array(start[gone]), pa.array(size[gone]), pa.nulls(m, pa.binary())], names=outs)
-        of_mini = mini[order[head]]
-        new = np.append(True, of_mini[1:] != of_mini[:-1])
-        group = np.cumsum(new) - 1
-        per = np.bincount(group)[group]
-        lowest = doc[order[head]]
-        differ = np.maximum.reduceat(lowest, np.flatnonzero(new))[group] != np.minimum.reduceat(lowest, np.flatnonzero(new))[group]
+        firsts = order[head]
+        of_mini, of_side, lowest = mini[firsts], side[firsts], doc[firsts]
         dealt = among(of_mini, hot)
-        ask = np.flatnonzero((per > 1) & differ | dealt)
+        ask = np.flatnonzero(met(of_mini, of_side >> np.uint64(32), lowest) | met(of_mini, of_side & np.uint64(0xFFFFFFFF), lowest) | dealt)
         if not len(ask):
             return
+        _, group, size_of = np.unique(of_mini[ask], return_inverse=True, return_counts=True)
+        kind = np.where((size_of[group] > many) | dealt[ask], 2, 1).astype(np.int32)
         upto = np.append(head[1:], len(order))
         kept = np.concatenate([[0], np.cumsum(keep)])
         mine = order[keep]
@@ -342,7 +371,6 @@ def deduplicate(
             i = mine[kept[head[c]] : kept[upto[c]]]
             others.append(np.unique(start[i])[1:].tobytes() if len(i) > 1 else None)
         first_start = [int(start[mine[kept[head[c]] : kept[upto[c]]]].min()) if o is not None else int(start[f]) for c, f, o in zip(ask, firsts, others, strict=True)]
-        kind = np.where((per[ask] > many) | dealt[ask], 2, 1).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [pa.array(kind), pa.array(mini[firsts].view(np.int64)), pa.array(doc[firsts]), pa.array(first_start, pa.int64()), pa.array(size[firsts]), pa.array(others, pa.binary())],
             names=outs,
@@ -372,7 +400,7 @@ def deduplicate(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Bytes of the segments and windows asked for; windows that this task has met in a smaller document go at once (no key)."""
-        met: dict[bytes, int] = {}
+        least: dict[bytes, int] = {}
         for part in slices(batches, 1):
             rows = []
             for doc, text, asks in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
@@ -385,12 +413,12 @@ def deduplicate(
                     starts = np.append(np.frombuffer(a["others"] or b"", np.int64), a["start"])
                     for i in range(len(body) - span + 1):
                         w = body[i : i + span]
-                        if met.get(w, doc) < doc:
+                        if least.get(w, doc) < doc:
                             rows += [(None, doc, int(x) + i, None, None) for x in starts]
                             continue
-                        if len(met) >= 1 << 19:
-                            met.clear()
-                        met[w] = doc
+                        if len(least) >= 1 << 19:
+                            least.clear()
+                        least[w] = doc
                         key = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
                         rows.append((key, doc, a["start"] + i, (starts[:-1] + i).tobytes() or None, w))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
