@@ -364,6 +364,20 @@ def test_sharding_hot_group_and_edges(spark):
     assert sharding.shard(frame(spark, [])).count() == 0
 
 
+def test_sharding_cuts_no_more_than_the_best_placement_must(spark):
+    """Groups that fit stay whole; a group that no quota holds is cut as the best split cuts it, found by trying all."""
+    rows = [(i, f"g{i % 4}") for i in range(32)] + [(100 + i, f"own {i}") for i in range(32)]
+    got = sharding.cut_edges(sharding.shard(frame(spark, rows), shards=4)).first()
+    assert (got.edges, got.cut) == (4 * 28, 0)
+    rows = [(i, "big") for i in range(9)] + [(100 + i, f"own {i}") for i in range(3)]
+    placed = sharding.shard(frame(spark, rows), shards=3).collect()
+    best = min(sum(a * b for a, b in itertools.combinations(split, 2)) for split in itertools.product(range(5), repeat=3) if sum(split) == 9)
+    home = [r.shard for r in placed if r.doc_id < 100]
+    cut = sum(a != b for a, b in itertools.combinations(home, 2))
+    assert cut == sharding.cut_edges(spark.createDataFrame(placed, "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")).first().cut
+    assert best <= cut <= 27
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
