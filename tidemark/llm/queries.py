@@ -47,7 +47,8 @@ def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    times = F.size(F.filter("passes", lambda p: p["words"] > 0)).cast("long")
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"), times.alias("passes"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,14 @@ w as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 as
 o as (select *, row_number() over (order by 3.0 * source_size / weight, source) as k from w),
 l as (select *, ((select sum(source_size) from s) - coalesce(sum(3 * source_size) over (order by k rows between unbounded preceding and 1 preceding), 0)) / cast(sum(weight) over (order by k rows between current row and unbounded following) as double) as level from o),
 t as (select *, least(coalesce((select min_by(level, k) from l where level * weight <= 3 * source_size), 1e300) * weight, 3.0 * source_size) as target from l),
-p as (select d.*, t.source_size, t.target, cast(round(t.target) as bigint) as goal, cast(sum(size) over (partition by d.source order by h, doc_id, size rows unbounded preceding) - size as bigint) as place from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target, greatest(0, least(size, goal - place)) + greatest(0, least(size, goal - source_size - place)) + greatest(0, least(size, goal - 2 * source_size - place)) as taken from p"""
+p as (select d.*, t.weight, t.source_size, t.target, cast(round(t.target) as bigint) as goal, cast(sum(size) over (partition by d.source order by h, doc_id, size rows unbounded preceding) - size as bigint) as place from d join t on d.source is not distinct from t.source),
+q as (select *, place / greatest(target, 1.0) as x, greatest(0, least(size, goal - place)) as w1, greatest(0, least(size, goal - source_size - place)) as w2, greatest(0, least(size, goal - 2 * source_size - place)) as w3 from p),
+v as (select *, greatest(x - 0.375, 0.0) as y from q)
+select doc_id, size, source_size, target, w1 + w2 + w3 as taken,
+  round(case when x >= 1.0 then 1.0 when weight = 1 then 2 * x / (1.5 + sqrt(greatest(2.25 - 2 * x, 0.0))) when weight = 2 then x
+    when x < 0.375 then 2 * x / (0.5 + sqrt(0.25 + 2 * x)) else 0.5 + 2 * y / (1.0 + sqrt(1.0 + 2 * y)) end, 9) as position,
+  cast(w1 > 0 as bigint) + cast(w2 > 0 as bigint) + cast(w3 > 0 as bigint) as passes
+from v"""
 
 OP10 = rf"""
 with recursive t as (select doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
