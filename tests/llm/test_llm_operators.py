@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat, common, decontam, html_text, lm_scoring, minhash, mixing, quality, sharding, suffix_dedup, toxicity
 
@@ -323,9 +324,40 @@ def test_leaks_at_the_limit_by_item_length(spark, even):
     assert decontam.filter_clean(frame(spark, rows), items).count() == 0
 
 
+@pytest.mark.parametrize("block", [20_000, 12])
+def test_leaks_match_brute_force(spark, block):
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(60)]
+    bench = [[rng.choice(vocabulary) for _ in range(n)] for n in [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 25, 31, 60, 200] for _ in range(2)]
+    rows = [(0, None), (1, ""), (2, "w1"), (2, "w1"), (None, " ".join(bench[10]))]
+    for k in range(150):
+        w = list(rng.choice(bench)) if k % 3 else []
+        for _ in range(rng.randrange(0, len(w) // 4 + 1)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], [rng.choice(vocabulary)], [w[at], rng.choice(vocabulary)]])
+        pad = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 20))]
+        rows.append((10 + k, " ".join([*pad, *w, *pad[::-1]])))
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(bench)] + [(3, " ".join(bench[3])), (900, None), (901, "")], "item_id long, text string").withColumn("doc_id", F.lit(5))
+    docs = frame(spark, rows).withColumns({"item_id": F.lit(1), "start_word": F.lit("own")})
+    want = collections.Counter()
+    for d, t in rows:
+        words = (t or "").split()
+        for i, w in enumerate(bench):
+            cost = brute_distance(w, words)
+            if words and cost <= int(0.2 * len(w)):
+                want[d, i, cost] += 1
+    got = decontam.leaks(docs, items, block=block).collect()
+    assert collections.Counter((r.doc_id, r.item_id, r.distance) for r in got) == want
+    kept = decontam.filter_clean(docs, items, block=block)
+    dirty = {d for d, _, _ in want}
+    assert kept.columns == docs.columns and collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter(d for d, t in rows if d not in dirty)
+
+
 def test_leaks_edges(spark):
-    items = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "tie tie tie tie tie tie tie tie tie tie")], "item_id long, text string")
-    assert decontam.leaks(frame(spark, EDGES), items).count() >= 0
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "tie " * 10), (5, "tie tie tie"), (6, "word")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in decontam.leaks(frame(spark, EDGES), items).collect())
+    assert got == [(4, 6, 0), (4, 6, 0), (7, 5, 0), (8, 5, 0)]
+    assert decontam.leaks(frame(spark, EDGES), items, least=4).count() == 0
     assert decontam.leaks(frame(spark, []), items).count() == 0
     assert decontam.leaks(frame(spark, EDGES), items.limit(0)).count() == 0
 
@@ -416,8 +448,6 @@ def test_mixing_meets_targets(spark, docs, kind):
 
 
 def test_schedule_inverse(spark):
-    from pyspark.sql import functions as F
-
     for knots in mixing.SCHEDULES.values():
         rows = spark.range(101).select((F.col("id") / 100).alias("x"), mixing.invert(F.col("id") / 100, knots).alias("t")).collect()
         xs, ys = zip(*knots, strict=True)
@@ -434,6 +464,24 @@ def test_mixing_edges(spark):
     assert out.columns == [c.split()[0] for c in DOCS.split(", ")] and 40 <= out.count() <= 80
 
 
+def test_repeat_keeps_sources_and_columns_apart(spark):
+    rows = [(i, "w " * 5, "a" if i % 2 else None, i) for i in range(40)] + [(7, "w " * 5, None, 99)] + [(50, "x y z", "a", k) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, h long").withColumnsRenamed({"h": "h"}).withColumn("n", F.lit("own")).withColumn("known", F.lit(1)).withColumn("row", F.lit(2))
+    out = mixing.repeat(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    times = collections.Counter((r.doc_id, r.source, r.h) for r in got)
+    want = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source] += sum(p.whole for p in r.passes)
+    have = collections.Counter()
+    for (i, s, _), n in times.items():
+        have[i, s] += n
+    assert have == +want
+    five = [times.get((50, "a", k), 0) for k in range(5)]
+    assert max(five) - min(five) <= 1 and all(r.n == "own" for r in got)
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,8 @@ of words: at each step it emits the current word and stays or advances by one, a
 Edits between windows become few differences between walks that soon run together again, so edit distance becomes Hamming
 distance. Each of `repeats` walks samples some of its steps into one key. Items put the keys of a walk from each of their words
 (as far as the walk stays inside) into a table; documents look up the keys of walks from every `stride`-th word, so that a
-passage meets the item's window that begins at the same place whatever its alignment. Short items have short walks.
+passage meets the item's window that begins at the same place whatever its alignment. Windows follow the item's size: short items
+have short walks alone, longer ones long walks too.
 Candidates are confirmed by the exact word edit distance of the whole item to the best-matching stretch around.
 
 Walks find a passage with a probability that falls with its edits, so they alone lose passages near the limit. Exact pieces
@@ -13,26 +14,29 @@ complete them: an item that may have e edits is cut into e + 1 pieces, of which
 the first (at most PIECE) words of every piece are looked up at every word of the documents. No passage within the limit is lost.
 `recall` and `hit` only set how many walks there are.
 
-The benchmark is a stated query set: it comes to the driver and goes to all tasks in blocks of at most `block` items; every
-document is tried against every block. Documents are never cut, shuffled or gathered.
+The benchmark is a stated query set: it is read in parts of about `block` items (dealt by a hash of the item) that go to all
+tasks one after the other; every document is tried against every part. With several parts, each part's result is written before
+the next part is read, so that neither the driver nor a task holds more than one. Documents are never cut, shuffled or gathered.
 
-Defined results: null and empty texts and items match nothing; items with fewer than `least` words are no evidence and are
-not searched; repeated rows give their matches each; several passages of one item in a document give the best one; other
-columns are not read.
+Defined results: null and empty texts and items match nothing; an item of fewer than `least` words (1: no such item) is not
+searched; items too short to allow an edit match exactly; repeated rows give their matches each; several passages of one item
+in a document give the best one; repeated items count once; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import Words, filter_rows, grams, mix, scan, slices, span_hash, text_buffers
+from .common import Words, filter_rows, grams, materialise, mix, scan, slices, span_hash, text_buffers
 
 #: Bytes that separate words: ASCII except letters and digits.
 OUTSIDE = np.zeros(256, bool)
@@ -86,8 +90,7 @@ def item_table(words: Words, h: np.ndarray, repeats: int, least: int) -> tuple[n
     for r in range(repeats):
         found, last = walk(h, starts, r)
         for k, c in enumerate(CLASSES):
-            upper = CLASSES[k + 1][2] if k + 1 < len(CLASSES) else math.inf
-            ok = (last[k] < end) & (size >= max(c[2], least)) & (size < upper)
+            ok = (last[k] < end) & (size >= max(c[2], least))
             keys.append(found[k][ok])
             rows.append(row[ok])
             offs.append((starts - words.first[row])[ok])
@@ -147,57 +150,76 @@ def leaks(
     max_edits: float = 0.2,
     recall: float = 0.995,
     stride: int = 4,
-    least: int = 8,
+    least: int = 1,
     block: int = 20_000,
 ) -> DataFrame:
     """(doc_id, item_id, start_word, end_word, distance, item_words): passages within max_edits * item words of an item."""
     source = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    out = None
-    for shared in blocks(benchmark, item_col, item_text, repeats_for(recall), max_edits, least, block):
+    repeats = repeats_for(recall)
 
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+    def found(shared: Broadcast) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for piece in slices(batches, 1):
-                yield search(piece, index, repeats_for(recall), stride, max_edits)
+                yield search(piece, shared.value, repeats, stride, max_edits)
 
-        found = source.mapInArrow(work, LEAKS)
-        out = found if out is None else out.unionByName(found)
-    return out
+        return source.mapInArrow(work, LEAKS)
 
+    items, parts = in_parts(benchmark, item_col, item_text, block)
+    if parts == 1:
+        return found(index_of(items, repeats, max_edits, least))
+    tables = []
+    for k in range(parts):
+        shared = index_of(items.filter(F.col("part") == k), repeats, max_edits, least)
+        tables.append(materialise(found(shared), "leaks"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, tables)
 
-def filter_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_edits: float = 0.2, recall: float = 0.995, stride: int = 4, least: int = 8, block: int = 20_000) -> DataFrame:
-    """Rows of docs, all columns, that hold no passage of any item."""
-    for shared in blocks(benchmark, "item_id", "text", repeats_for(recall), max_edits, least, block):
 
-        def keep(shared=shared):
-            index = shared.value
+def filter_clean(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_edits: float = 0.2, recall: float = 0.995, stride: int = 4, least: int = 1, block: int = 20_000
+) -> DataFrame:
+    """Rows of docs, all columns, that hold no passage of any item."""
+    repeats = repeats_for(recall)
 
+    def clean(docs: DataFrame, shared: Broadcast) -> DataFrame:
+        def keep():
             def passes(texts: pa.Array) -> np.ndarray:
                 rows = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), texts], names=["doc_id", "text"])
                 ok = np.ones(len(texts), bool)
-                ok[search(rows, index, repeats_for(recall), stride, max_edits).column(0).to_numpy()] = False
+                ok[search(rows, shared.value, repeats, stride, max_edits).column(0).to_numpy()] = False
                 return ok
 
             return passes
 
-        docs = filter_rows(docs, text_col, keep)
+        return filter_rows(docs, text_col, keep)
+
+    items, parts = in_parts(benchmark, item_col, item_text, block)
+    if parts == 1:
+        return clean(docs, index_of(items, repeats, max_edits, least))
+    for k in range(parts):
+        shared = index_of(items.filter(F.col("part") == k), repeats, max_edits, least)
+        docs = materialise(clean(docs, shared), "clean")
+        shared.destroy()
     return docs
 
 
-def blocks(benchmark: DataFrame, item_col: str, item_text: str, repeats: int, max_edits: float, least: int, block: int) -> list[Broadcast]:
-    """The items in blocks: ids, word hashes, first words, the sorted table of keys with a sieve before it, and the pieces."""
-    items = benchmark.selectExpr(f"cast(`{item_col}` as long) item_id", f"cast(`{item_text}` as string) text").toArrow()
-    out = []
-    for lo in range(0, max(1, items.num_rows), block):
-        part = items.slice(lo, block).combine_chunks()
-        words, h = words_of(pa.array(part.column("text").to_pylist(), pa.string()))
-        key, item, off = item_table(words, h, repeats, least)
-        pieces = piece_table(words, h, max_edits, least)
-        sieve = np.zeros(1 << 22, bool)
-        for k in (key, *(x[0] for x in pieces.values())):
-            sieve[(k >> np.uint64(42)).astype(np.int64)] = True
-        out.append(benchmark.sparkSession.sparkContext.broadcast((part.column("item_id").to_pylist(), h, words.first, key, item, off, sieve, pieces)))
-    return out
+def in_parts(benchmark: DataFrame, item_col: str, item_text: str, block: int) -> tuple[DataFrame, int]:
+    """(item_id, text, part), repeated rows once, and the number of parts."""
+    items = benchmark.selectExpr(f"cast(`{item_col}` as long) item_id", f"cast(`{item_text}` as string) text").distinct()
+    parts = max(1, -(-items.count() // block))
+    return items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), parts
+
+
+def index_of(part: DataFrame, repeats: int, max_edits: float, least: int) -> Broadcast:
+    """One part of the items: ids, word hashes, first words, the sorted table of keys with a sieve before it, and the pieces."""
+    rows = part.select("item_id", "text").toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")]).combine_chunks()
+    words, h = words_of(pa.array(rows.column("text").to_pylist(), pa.string()))
+    key, item, off = item_table(words, h, repeats, least)
+    pieces = piece_table(words, h, max_edits, least)
+    sieve = np.zeros(1 << 22, bool)
+    for k in (key, *(x[0] for x in pieces.values())):
+        sieve[(k >> np.uint64(42)).astype(np.int64)] = True
+    return part.sparkSession.sparkContext.broadcast((rows.column("item_id").to_pylist(), h, words.first, key, item, off, sieve, pieces))
 
 
 def search(piece: pa.RecordBatch, index: tuple, repeats: int, stride: int, max_edits: float) -> pa.RecordBatch:
