@@ -4,7 +4,8 @@ Each stage takes what the one before kept, as Parquet, with the columns of docum
 the last returns shards. Rows are never sampled; what a stage drops is what its operator rejects:
 
 - toxicity drops texts whose score reaches the threshold (the model learns from the labels of the documents at hand);
-- near_duplicates keeps the smallest id of each component, once (rows without an id are kept);
+- near_duplicates keeps the smallest id of each component, once (rows without an id are kept; rows with one id and different
+  texts are different documents, with equal texts one);
 - decontamination drops documents that hold a passage of a benchmark item;
 - mixing repeats each document as often as the mix takes it (rounded to whole documents) and drops what it takes less than half of;
 - sharding gives every remaining row a shard and a slot.
@@ -32,11 +33,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    found = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    rest = docs.select(*COLUMNS).join(found, "doc_id", "left_anti")
-    once = rest.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(rest.filter("doc_id is null"))
+    """One document of each group of near-duplicates; rows whose id occurs again are told apart by their texts."""
+    rows = docs.select(*COLUMNS)
+    again = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("again"))
+    again = materialise(again, "again")
+    if again.isEmpty():
+        found = minhash.near_duplicates(rows).filter("not kept").select("doc_id").distinct()
+        return rows.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    own = F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), 2) + F.lit(1 << 62)
+    rows = rows.join(again, "doc_id", "left").withColumn("near_id", F.when(F.col("again"), own).otherwise(F.col("doc_id")))
+    rows = materialise(rows.select("near_id", *COLUMNS), "told_apart")
+    found = minhash.near_duplicates(rows, id_col="near_id").filter("not kept").select("near_id").distinct()
+    rest = rows.join(found, "near_id", "left_anti")
+    once = rest.filter("near_id is not null").dropDuplicates(["near_id"])
+    return once.unionByName(rest.filter("near_id is null")).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
