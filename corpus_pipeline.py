@@ -43,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     own = F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), 2) + F.lit(1 << 62)
     rows = rows.join(again, "doc_id", "left").withColumn("near_id", F.when(F.col("again"), own).otherwise(F.col("doc_id")))
     rows = materialise(rows.select("near_id", *COLUMNS), "told_apart")
-    found = minhash.near_duplicates(rows, id_col="near_id").filter("not kept").select("near_id").distinct()
+    found = minhash.near_duplicates(rows, id_col="near_id").filter("not kept").selectExpr("doc_id near_id").distinct()
     rest = rows.join(found, "near_id", "left_anti")
     once = rest.filter("near_id is not null").dropDuplicates(["near_id"])
     return once.unionByName(rest.filter("near_id is null")).select(*COLUMNS)
