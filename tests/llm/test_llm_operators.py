@@ -606,6 +606,44 @@ def test_extraction_survives_broken_pages(page):
     assert isinstance(html_text.main_text(page), str)
 
 
+LONG = "This is a paragraph of the main text, and it has the stop words that one would expect in it, so that it is content for the rules at hand."
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ('<p class="a>Hello there</p><p>and more</p>', ["Hello there", "and more"]),
+        ('<p class="a>Hello there</p><p class="b">and more</p>', ["Hello there", "and more"]),
+        ("<p title='it's ok'>Hello there</p>", ["Hello there"]),
+        ('<p title="a > b" data-x="<b>x</b>" id=7>Hello there</p>', ["Hello there"]),
+        ('<p a"b=\'c\' d>Hello there</p>', ["Hello there"]),
+        ("<p class=x/>Hello there</p>", ["Hello there"]),
+        ('<a href="?q=">Hello</a> there', ["Hello there"]),
+        (f'<div class="search-results"><p>{LONG}</p><p>Short one.</p></div>', [LONG, "Short one."]),
+        ('<h2 class="legal-title">The law of it</h2>', ["The law of it"]),
+        ('<p class="social share">Real text here</p>', ["Real text here"]),
+        ('<div class="share">Tell your friends</div><div class="share"><a href=x>Post</a></div>', []),
+        ('<div class="ad">Buy this, and that, for the best of all prices in the world of the web and so on and on and on.</div>', []),
+        ("<p>one<b>two<p>three</b>four</p>", ["onetwo", "threefour"]),
+        ("<ul><li>one<li>two<ul><li>three</ul><li>four</ul>", ["one", "two", "three", "four"]),
+    ],
+)
+def test_extraction_inside_an_article(inner, want):
+    page = f"<nav><a href=1>Menu</a></nav><article><p>{LONG}</p>{inner}<p>{LONG}</p></article><footer>The end of the page</footer>"
+    assert html_text.main_text(page).split("\n\n") == [LONG, *want, LONG]
+
+
+def test_extraction_is_linear_in_the_page():
+    import time
+
+    n = 100_000
+    pages = ["<div>" * n + LONG, "<b>" * n + "<p>x" * n, "<p>" + "<b>x" * n, "<ul><li>" * n, "</b>" * n, "<a>" * n + "</a>" * n, '<p class="a>x' * n, "<p title='x" * n, "<b><p></b>" * n, "<script>" * n, "<" * n, "<p " + "a " * n, "&" * n]
+    for page in pages:
+        start = time.perf_counter()
+        assert isinstance(html_text.main_text(page), str)
+        assert time.perf_counter() - start < 10, page[:20]
+
+
 def test_extraction_of_pages_takes_the_article(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     import html
