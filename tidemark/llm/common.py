@@ -48,6 +48,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def partitions(df: DataFrame, part_bytes: int = 8 << 20) -> int:
+    """How many tasks to deal df's texts to, by the size that the optimizer knows without reading: the session's number at least."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, size // part_bytes) if size < 1 << 60 else least  # larger: unknown
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialise wrote and no later plan reads."""
     for df in tables:

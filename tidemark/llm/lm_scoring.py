@@ -3,11 +3,12 @@
 The pieces of a public tokenizer's vocabulary span a lattice over each word; every path is a segmentation. A path begins with
 a piece that carries the word mark, goes on with inner pieces, and ends with a stop; the forward recursion adds all paths'
 probabilities in log space, so that a word's probability is the marginal over all its segmentations. Characters without a
-piece are spelled in bytes. The vocabulary's existing scores weight the pieces first (log probabilities as they are; merge
-ranks of a BPE file as Zipf weights); the expected uses of pieces over the training words under these weights, added to them,
-give the final weights. Words seen in training are arcs of their own across the whole lattice, with discounted counts; the
-discounts' mass goes to the lattice of pieces, so that the model is a proper distribution over texts that grows with the
-corpus.
+piece are spelled in bytes. The vocabulary's existing scores weight all segmentations (log probabilities as they are; merge
+ranks of a BPE file as Zipf weights): alone where pieces' expected uses over the training words are found, and with a share of
+`existing` in every piece's final weight, which those uses fill up. Words seen in training are arcs of their own across the
+whole lattice, with discounted counts; the discounts' mass goes to the lattice of pieces, so that the model is a proper
+distribution over texts that grows with the corpus. The lattice thus carries all of an unknown word's probability, and the
+discounted part of a known one's.
 
 A text comes from one of a few domains (values of `domain_col` in training rows; at most `domains` of them), each with its own
 counts and piece weights that back off to the common ones, and is written either afresh or partly by repeating its own words.
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WHITE, materialise, mix, scan, slices, span_hash, text_buffers
+from .common import LOWER, WHITE, materialise, mix, partitions, scan, slices, span_hash, text_buffers
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
@@ -250,6 +251,7 @@ def score(
     hot: int = 200_000,
     domains: int = 6,
     repeat: float = 0.1,
+    existing: float = 0.25,
     id_col: str = "doc_id",
     text_col: str = "text",
     domain_col: str | None = "lang",
@@ -270,8 +272,14 @@ def score(
     of_domain[-1] += ends - of_domain.sum()  # rarer domains join the last
     width = len(names)
     pieces = load_pieces(vocabulary)
+    parts = partitions(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def combined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held).group_by(["word", "d"], use_threads=False).aggregate([("n", "sum")])
+            yield from whole.select(["word", "n_sum", "d"]).rename_columns(["word", "n", "d"]).to_batches()
+
+        held, rows = [], 0
         for part in slices(batches, 1):
             train = ~part.column(2).to_numpy(zero_copy_only=False)
             place = np.array([names.index(d) if d in names else width - 1 for d in part.column(3).to_pylist()])
@@ -279,11 +287,17 @@ def score(
             side = np.where(train, place, -1)[row]
             for d in np.unique(side):
                 both = pc.value_counts(words.filter(pa.array(side == d)))
-                yield pa.RecordBatch.from_arrays([both.field("values").cast(pa.string()), both.field("counts"), pa.array(np.full(len(both), d, np.int32))], names=["word", "n", "d"])
+                held.append(pa.RecordBatch.from_arrays([both.field("values").cast(pa.string()), both.field("counts"), pa.array(np.full(len(both), d, np.int32))], names=["word", "n", "d"]))
+                rows += len(both)
+            if rows > 1_000_000:
+                yield from combined(held)
+                held, rows = [], 0
+        if held:
+            yield from combined(held)
 
     columns = [f"n{d}" for d in range(width)]
     sums = [F.sum(F.when(F.col("d") == d, F.col("n")).otherwise(0)).alias(c) for d, c in enumerate(columns)]
-    counted = source.mapInArrow(count, "word string, n long, d int").groupBy("word").agg(*sums)
+    counted = source.mapInArrow(count, "word string, n long, d int").repartition(parts, "word").groupBy("word").agg(*sums)
     counted = materialise(counted.withColumn("n", sum((F.col(c) for c in columns), F.lit(0)).cast("long")), "words")
     facts = counted.agg(*[F.sum(c).alias(f"{c}_sum") for c in ("n", *columns)], *[F.count_if(F.col(c) > 0).alias(f"{c}_types") for c in ("n", *columns)], *[F.count_if(F.col(c) == k).alias(f"{c}_{k}") for c in ("n", *columns) for k in (1, 2, 3, 4)]).first().asDict()
     tokens, types = (facts["n_sum"] or 0) + ends, facts["n_types"] + (ends > 0)
@@ -308,12 +322,14 @@ def score(
     uses[used["piece"].to_numpy()] = used["uses"].to_numpy()
     uses = uses.reshape(width, -1)
     every = uses.sum(0)
-    prior = 0.01 * every[:-1].sum() + 1000
-    base_weights = (every[:-2] + prior * pieces.weights[0]) / (every[:-1].sum() + prior)
-    base_byte = (every[-2] / 256 + prior * pieces.byte_weight[0]) / (every[:-1].sum() + prior)
     trust = 2000.0
-    stop = (uses[:, -1] + 0.4 * trust) / (uses[:, :-1].sum(1) + trust)
-    pieces.set_weights(uses[:, :-2] + trust * base_weights, uses[:, -2] / 256 + trust * base_byte, np.clip(stop, 0.05, 0.95))
+    common_weights = (every[:-2] + pieces.weights[0]) / (every[:-1].sum() + 1)
+    common_byte = (every[-2] / 256 + pieces.byte_weight[0]) / (every[:-1].sum() + 1)
+    seen = uses[:, :-1].sum(1)[:, None]
+    learned = (uses[:, :-2] + trust * common_weights) / (seen + trust)
+    learned_byte = (uses[:, -2] / 256 + trust * common_byte) / (seen[:, 0] + trust)
+    stop = np.clip((uses[:, -1] + 0.4 * trust) / (seen[:, 0] + trust), 0.05, 0.95)
+    pieces.set_weights(existing * pieces.weights[0] + (1 - existing) * learned, existing * pieces.byte_weight[0] + (1 - existing) * learned_byte, stop)
     final = spark.sparkContext.broadcast(pieces)
     logs = [f"l{d}" for d in range(width)]
 
@@ -375,9 +391,9 @@ def score(
 
     shape = "id long, key long, tf long, share double, doc_id long, held_out boolean, n_tokens long, known long, base double, " + ", ".join(f"{x} double" for x in (*afresh, *again))
     rows = source.withColumn("id", F.monotonically_increasing_id()).mapInArrow(meet, shape)
-    other = weighed.select("key", F.col("n").alias("wn"), F.col("base").alias("wb"), *logs).hint("shuffle_hash")
+    other = weighed.select("key", F.col("n").alias("wn"), F.col("base").alias("wb"), *logs).repartition(parts, "key").hint("shuffle_hash")
     whole = F.col("tf").isNull()
-    joined = rows.join(other, "key", "left").select(
+    joined = rows.repartition(parts, "key").join(other, "key", "left").select(
         "id",
         "doc_id",
         "held_out",
@@ -387,7 +403,7 @@ def score(
         *[F.when(whole, F.col(a)).otherwise(F.col(x)).alias(a) for a, x in zip(afresh, logs, strict=True)],
         *[F.when(whole, F.col(r)).otherwise(F.log10((1 - repeat) * F.pow(F.lit(10.0), F.col(x)) + repeat * F.col("share"))).alias(r) for r, x in zip(again, logs, strict=True)],
     )
-    out = joined.groupBy("id").agg(
+    out = joined.repartition(parts, "id").groupBy("id").agg(
         F.max("doc_id").alias("doc_id"),
         F.bool_or("held_out").alias("held_out"),
         F.max("n_tokens").alias("n_tokens"),
