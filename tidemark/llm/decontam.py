@@ -6,7 +6,7 @@ Edits between windows become few differences between walks that soon run togethe
 distance. Each of `repeats` walks samples some of its steps into one key. Items put the keys of a walk from each of their words
 (as far as the walk stays inside) into a table; documents look up the keys of walks from every `stride`-th word, so that a
 passage meets the item's window that begins at the same place whatever its alignment. Windows follow the item's size: short items
-have short walks alone, longer ones long walks too.
+have short walks, longer ones long walks.
 Candidates are confirmed by the exact word edit distance of the whole item to the best-matching stretch around.
 
 Walks find a passage with a probability that falls with its edits, so they alone lose passages near the limit. Exact pieces
@@ -90,7 +90,8 @@ def item_table(words: Words, h: np.ndarray, repeats: int, least: int) -> tuple[n
     for r in range(repeats):
         found, last = walk(h, starts, r)
         for k, c in enumerate(CLASSES):
-            ok = (last[k] < end) & (size >= max(c[2], least))
+            upper = CLASSES[k + 1][2] if k + 1 < len(CLASSES) else math.inf
+            ok = (last[k] < end) & (size >= max(c[2], least)) & (size < upper)
             keys.append(found[k][ok])
             rows.append(row[ok])
             offs.append((starts - words.first[row])[ok])
