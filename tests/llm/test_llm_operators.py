@@ -725,6 +725,28 @@ def test_pigeonhole_finds_all_pairs_within_the_radius(spark):
             assert (a, b) in together
 
 
+@pytest.mark.parametrize("shape", ["none", "chain", "star", "random"])
+def test_components_match_union_find(spark, shape):
+    rng = random.Random(3)
+    n = 300
+    edges = {"none": [], "chain": [(i, i + 1) for i in range(n)], "star": [(n, i) for i in range(n)], "random": [(rng.randrange(n), rng.randrange(n)) for _ in range(n // 2)]}[shape]
+    names = list(range(n + 1))
+    rng.shuffle(names)
+    edges = [(names[a], names[b]) for a, b in edges if a != b]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = [(r.node, r.root) for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert sorted(got) == sorted((x, root(x)) for x in list(parent))
+
+
 def test_near_duplicates_edges(spark):
     got = minhash.near_duplicates(frame(spark, EDGES)).collect()
     assert len(got) == len(EDGES)

@@ -152,24 +152,37 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): the smallest node reachable, by label propagation with pointer jumping; rounds grow with the logarithm of the diameter."""
-    both = edges.selectExpr(f"{a} src", f"{b} dst").union(edges.selectExpr(f"{b} src", f"{a} dst"))
-    both = materialise(both.distinct(), "edges")
-    degree = materialise(both.groupBy("dst").agg(F.count("*").alias("n")), "degrees")
-    labels = materialise(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).selectExpr("node", "least(node, m) root"), "labels")
-    links, nodes = both.count(), labels.count()
-    while True:
-        heard = spread_join(both, labels.selectExpr("node dst", "root"), "dst", degree, links, "src").groupBy("src").agg(F.min("root").alias("m"))
-        near = materialise(labels.join(heard, labels.node == heard.src).selectExpr("node", "root old", "least(root, m) root"), "near")
-        up = labels.selectExpr("node root", "root top")
-        taken = near.groupBy("root").agg(F.count("*").alias("n"))
-        labels2 = materialise(spread_join(near, up, "root", taken, nodes, "node").selectExpr("node", "least(root, top) root", "old"), "labels")
-        moved = labels2.filter("root <> old").limit(1).count()
-        discard(near, labels)
-        if not moved:
-            discard(both, degree)
-            return labels2.select("node", "root")
-        labels = labels2
+    """(node, root): the smallest node reachable, for all nodes of edges.
+
+    In each round every node moves to the smallest neighbour's smallest neighbour, and edges are drawn anew between what nodes
+    moved to, until none is left; at last the moves are followed from the last round to the first. A node that was moved to while
+    it moved itself is met again later and ends where its first move does.
+    """
+
+    def per(df: DataFrame, key: str) -> DataFrame:
+        return df.groupBy(key).agg(F.count("*").alias("n"))
+
+    live = edges.selectExpr(f"least({a}, {b}) lo", f"greatest({a}, {b}) hi").filter("lo < hi").distinct()
+    live, moves = materialise(live, "edges"), []
+    left = live.count()
+    while left:
+        up = materialise(live.groupBy("hi").agg(F.min("lo").alias("up")), "up")
+        top = up.selectExpr("hi up", "up top")
+        move = materialise(spread_join(up, top, "up", per(up, "up"), left, "hi", "left").selectExpr("hi node", "coalesce(top, up) to"), "move")
+        moved = spread_join(live, move.selectExpr("node hi", "to b"), "hi", per(live, "hi"), left, "lo")
+        moved = spread_join(moved, move.selectExpr("node lo", "to c"), "lo", per(live, "lo"), left, "hi", "left").selectExpr("coalesce(c, lo) a", "b")
+        after = materialise(moved.selectExpr("least(a, b) lo", "greatest(a, b) hi").filter("lo < hi").distinct(), "edges")
+        discard(live, up)
+        live, left = after, after.count()
+        moves.append(move)
+    if not moves:
+        return live.selectExpr("lo node", "hi root")
+    found = moves[-1].selectExpr("node", "to root")
+    for move in reversed(moves[:-1]):
+        later = spread_join(move, found.selectExpr("node to", "root"), "to", per(move, "to"), move.count(), "node", "left")
+        found = later.selectExpr("node", "coalesce(root, to) root").union(found).distinct()
+    found = materialise(found, "roots")
+    return found.union(found.selectExpr("root node", "root").distinct())
 
 
 def cross_links(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -206,16 +219,19 @@ def cross_links(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], perc
 def open_links(open_: DataFrame, sets: DataFrame, percent: int, block_bytes: int = 2 << 20) -> DataFrame:
     """Links (a, b) across roots among texts that share keys (key, doc_id, root), complete.
 
-    Texts connected by keys form a family. A family larger than a block is cut into blocks by a hash; every two blocks meet in one
+    Roots connected by keys form a family. A family larger than a block is cut into blocks by a hash; every two blocks meet in one
     task, which compares their texts in memory and puts out links only.
     """
-    counts = materialise(open_.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a")), "counts")
-    near = spread_join(open_, counts.select("key", "a"), "key", counts, open_.count(), "doc_id").filter("a <> doc_id").selectExpr("a", "doc_id b").distinct()
-    family = components(near).selectExpr("node doc_id", "root family")
-    rows = open_.select("doc_id", "root").distinct().join(family, "doc_id").join(sets.select("doc_id", "shingles"), "doc_id")
-    sizes = family.join(sets.selectExpr("doc_id", "length(shingles) bytes"), "doc_id").groupBy("family")
-    sizes = materialise(sizes.agg(F.count("*").alias("n"), F.greatest(F.ceil(F.sum("bytes") / block_bytes), F.lit(1)).cast("int").alias("blocks")), "families")
-    rows = spread_join(rows, sizes.select("family", "blocks"), "family", sizes, family.count(), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    counts = materialise(open_.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a")), "counts")
+    near = spread_join(open_, counts.select("key", "a"), "key", counts, open_.count(), "doc_id").filter("a <> root").selectExpr("a", "root b").distinct()
+    family = components(near).selectExpr("node root", "root family")
+    members = materialise(open_.select("doc_id", "root").distinct(), "members")
+    rows = spread_join(members, family, "root", members.groupBy("root").agg(F.count("*").alias("n")), members.count(), "doc_id")
+    rows = materialise(rows.join(sets.selectExpr("doc_id", "length(shingles) bytes"), "doc_id").select("doc_id", "root", "family", "bytes"), "members")
+    sizes = rows.groupBy("family").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.sum("bytes") / block_bytes), F.lit(1)).cast("int").alias("blocks"))
+    sizes, total = materialise(sizes, "families"), rows.count()
+    rows = rows.drop("bytes").join(sets.select("doc_id", "shingles"), "doc_id")
+    rows = spread_join(rows, sizes.select("family", "blocks"), "family", sizes, total, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.selectExpr("family", "least(own, other) i", "greatest(own, other) j", "doc_id", "root", "shingles")
 
