@@ -15,7 +15,7 @@ counts and piece weights that back off to the common ones, and is written either
 Which of these is not known when a text is scored: its probability is the marginal over all of them. Domain, source and id are
 never inputs of a score.
 
-Counts are exact over all training texts. The `hot` most frequent words are broadcast (a few megabytes, whatever the corpus);
+Counts are exact over all training texts. At most `hot` most frequent words are broadcast (a few megabytes, whatever the corpus);
 all other words meet their scores in a shuffle by a 64-bit hash of the word (among a billion distinct words the chance that any
 two collide is 0.03).
 
@@ -345,7 +345,14 @@ def score(
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "n", "base", *logs])
 
     weighed = materialise(counted.mapInArrow(weigh, "key long, n long, base double, " + ", ".join(f"{x} double" for x in logs)), "weighed")
-    often = weighed.filter("n > 0").orderBy(F.desc("n"), "key").limit(hot).toArrow().sort_by("key")
+    level = F.floor(F.log2("n") * 16)  # a thousand levels at most: the broadcast takes the uppermost that hold `hot` words together
+    cut, room = math.inf, hot
+    for r in weighed.filter("n > 0").groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        room -= r.words
+        if room < 0:
+            break
+        cut = r.level
+    often = weighed.filter(F.col("n") > 0).filter(level >= cut).toArrow().sort_by("key")
     top = spark.sparkContext.broadcast((often["key"].to_numpy(), often["base"].to_numpy(), np.stack([often[x].to_numpy() for x in logs])))
     end_base = float(base_log10(np.array([float(ends)]), tokens, types)[0])
     end_log = np.log10(np.maximum(of_domain - 0.5, 0.25) / np.array([x.tokens for x in discounts[1:]]))
