@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
+#: White space that is not one space already.
+SPACES = r"\s{2,}|[\t\n\x0B\f\r]"
 URL = r"https?://[!$-_a-z]+"
 HASHTAG = r"#([\p{L}\p{N}_]+)"
 MENTION = r"@([\p{L}\p{N}_]+)"
@@ -56,10 +58,33 @@ def tokens(text: Column | str) -> Column:
     return all_matches(F.lower(_c(text)), WORD)
 
 
+def long_tokens(text: Column | str, longer_than: int = 3) -> Column:
+    """Tokens longer than longer_than."""
+    return all_matches(F.lower(_c(text)), WORD.removesuffix("+") + f"{{{longer_than + 1},}}")
+
+
 def keywords(text: Column | str, stop: list[str] = STOP_KEYWORDS, longer_than: int = 3) -> Column:
     """Tokens longer than longer_than that are no stop words."""
-    no = F.array(*[F.lit(w) for w in stop])
-    return F.filter(tokens(text), lambda w: (F.length(w) > longer_than) & ~F.array_contains(no, w))
+    kept = [w for w in stop if len(w) > longer_than]
+    return F.filter(long_tokens(text, longer_than), lambda w: ~w.isin(kept))
+
+
+def keyword_rows(df: DataFrame, columns: list[Column], text: Column | str, stop: list[str] = STOP_KEYWORDS, longer_than: int = 3) -> DataFrame:
+    """A row for each keyword, with its place `pos` among the long tokens: keywords() without an array of what is kept."""
+    rows = df.select(*columns, F.posexplode(long_tokens(text, longer_than)).alias("pos", "word"))
+    return rows.filter(~F.col("word").isin([w for w in stop if len(w) > longer_than]))
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern of these words (plain letters) as a tree of their beginnings, so that few places are tried twice."""
+
+    def branch(rest: list[str]) -> str:
+        heads = sorted({w[0] for w in rest if w})
+        parts = [h + branch([w[1:] for w in rest if w[:1] == h]) for h in heads]
+        body = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
+        return f"(?:{body})?" if "" in rest and body else body
+
+    return branch(list(dict.fromkeys(words)))
 
 
 def words(text: Column | str) -> Column:
@@ -68,7 +93,7 @@ def words(text: Column | str) -> Column:
 
 
 def collapse(text: Column | str) -> Column:
-    return F.trim(F.regexp_replace(_c(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(_c(text), SPACES, " "))
 
 
 def squash(text: Column | str, keep: int = 3) -> Column:
@@ -78,9 +103,10 @@ def squash(text: Column | str, keep: int = 3) -> Column:
 
 def normalise(text: Column | str) -> Column:
     """The form that duplicates share: no URLs, no mentions, single spaces, lower case."""
-    out = F.regexp_replace(_c(text), r"https?://\S+", "")
-    out = F.regexp_replace(out, r"@[\p{L}\p{N}_]+", "")
-    return F.trim(F.lower(F.regexp_replace(out, r"\s+", " ")))
+    out = _c(text)
+    out = F.when(F.contains(out, F.lit("http")), F.regexp_replace(out, r"https?://\S+", "")).otherwise(out)
+    out = F.when(F.contains(out, F.lit("@")), F.regexp_replace(out, r"@[\p{L}\p{N}_]+", "")).otherwise(out)
+    return F.trim(F.lower(F.regexp_replace(out, SPACES, " ")))
 
 
 def text_hash(text: Column | str) -> Column:

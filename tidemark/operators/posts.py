@@ -79,7 +79,10 @@ def flag_duplicates(posts: DataFrame, key: str = "doc_id", text: str = "text", k
 
 
 def drop_duplicates(posts: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "first") -> DataFrame:
-    return flag_duplicates(posts, key, text, keep).filter("not is_duplicate").drop("is_duplicate", "hash")
+    """The first (last) post of each normalised text. Ids and hashes alone are aggregated; posts meet the kept ids, which are unique."""
+    pick = F.min(key) if keep == "first" else F.max(key)
+    kept = posts.groupBy(T.text_hash(text).alias("hash")).agg(pick.alias(key)).select(key)
+    return posts.join(kept, key, "left_semi")
 
 
 def seen_before(posts: DataFrame, seen: DataFrame, text: str = "text") -> DataFrame:
@@ -91,22 +94,27 @@ def near_pairs(posts: DataFrame, threshold: float = 0.95, key: str = "doc_id", t
     """(id_a, id_b, similarity): word-set Jaccard at or above the threshold.
 
     Texts with equal sets are one class, so that copies give one row per class and not all pairs; classes meet on prefixes of
-    their sets ordered by rarity, with a length filter, and are then compared exactly. Class members: class_members().
+    their sets ordered by rarity, with a length filter, and are then compared exactly. Words stand as 64-bit hashes, so that
+    columns of numbers are shuffled and compared. Class members: class_members().
     """
-    sets = word_sets(posts, key, text).groupBy("words").agg(F.min("id").alias("id")).withColumn("size", F.size("words")).filter("size > 0")
-    rows = sets.select("id", "size", F.explode("words").alias("word"))
-    often = rows.groupBy("word").agg(F.count("*").alias("df")).filter("df > 1")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
-    unique = F.col("size") - F.count("*").over(Window.partitionBy("id"))
-    ranked = rows.join(often, "word").withColumns({"place": place, "unique": unique})
-    prefix = ranked.filter(F.col("unique") + F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1)
+    hashed = F.array_sort(F.transform(F.array_distinct(T.words(T.normalise(text))), lambda w: F.xxhash64(w)))
+    sets = posts.select(F.col(key).alias("id"), hashed.alias("set")).filter(F.size("set") > 0)
+    sets = sets.groupBy("set").agg(F.min("id").alias("id"))
+    rows = sets.select("id", F.explode("set").alias("word"))
+    often = rows.groupBy("word").agg(F.count("*").alias("df"))
+    ordered = rows.join(often, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ws"))
+    size = F.size("ws")
+    prefix = ordered.select("id", size.alias("size"), F.explode(F.slice("ws", F.lit(1), size - F.ceil(size * threshold).cast("int") + 1)).alias("w"))
+    prefix = prefix.select("id", "size", "w.df", "w.word").filter("df > 1")
     a = prefix.select(F.col("word"), F.col("id").alias("id_a"), F.col("size").alias("size_a"))
     b = prefix.select(F.col("word"), F.col("id").alias("id_b"), F.col("size").alias("size_b"))
     near = (F.col("id_a") < F.col("id_b")) & (F.col("size_a") * 1.0 >= F.col("size_b") * threshold) & (F.col("size_b") * 1.0 >= F.col("size_a") * threshold)
     pairs = a.join(b, "word").filter(near).select("id_a", "id_b").distinct()
-    left = sets.select(F.col("id").alias("id_a"), F.col("words").alias("wa"))
-    right = sets.select(F.col("id").alias("id_b"), F.col("words").alias("wb"))
-    return pairs.join(left, "id_a").join(right, "id_b").withColumn("similarity", jaccard(F.col("wa"), F.col("wb"))).filter(F.col("similarity") >= threshold).select("id_a", "id_b", "similarity")
+    left = sets.select(F.col("id").alias("id_a"), F.col("set").alias("wa"))
+    right = sets.select(F.col("id").alias("id_b"), F.col("set").alias("wb"))
+    common = F.size(F.array_intersect("wa", "wb"))
+    similarity = common / (F.size("wa") + F.size("wb") - common)
+    return pairs.join(left, "id_a").join(right, "id_b").select("id_a", "id_b", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
 def word_sets(posts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,22 +153,40 @@ def repetition(texts: pd.Series) -> pd.Series:
     In Arrow batches: as array expressions the pairs would be built anew for every element.
     """
 
-    def top(items: np.ndarray) -> float:
-        return float(np.unique(items, return_counts=True)[1].max() / len(items)) if len(items) else 0.0
-
-    def one(t: str) -> float:
-        if len(t) < 10:
-            return 0.0
-        code = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        char = top((code[:-1] << np.uint64(32)) | code[1:])
-        ids = pd.factorize(np.array([w for w in re.split(r"\s+", t.lower(), flags=re.ASCII) if w], object))[0].astype(np.uint64)
-        if not len(ids):
-            return char
-        pair = top((ids[:-1] << np.uint64(32)) | ids[1:]) if len(ids) >= 3 else 0.0
-        count = np.bincount(ids.astype(np.int64))
-        return max(char, pair, float(count[count > 1].sum() / len(ids)))
-
-    return texts.fillna("").map(one)
+    text = texts.fillna("").to_numpy()
+    n = len(text)
+
+    def top(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """By row, the share of its most frequent pair (a, b): row and pair in one number if they fit, else pairs are numbered first."""
+        pair = (a.astype(np.uint64) << np.uint64(21)) | b.astype(np.uint64)
+        if max(a.max(), b.max()) >= 1 << 21 or n >= 1 << 22:
+            pair = np.unique((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64), return_inverse=True)[1].astype(np.uint64)
+        pair |= row.astype(np.uint64) << np.uint64(42)
+        pair.sort()
+        head = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        most, owner = np.zeros(n), (pair[head] >> np.uint64(42)).astype(np.int64)
+        np.maximum.at(most, owner, np.diff(np.append(head, len(pair))))
+        return most / np.maximum(np.bincount(owner, np.diff(np.append(head, len(pair))), n), 1)
+
+    size = np.array([len(t) for t in text], np.int64)
+    out = np.zeros(n)
+    code = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(n), size)
+    both = row[1:] == row[:-1]
+    if both.any():
+        out = top(row[:-1][both], code[:-1][both], code[1:][both])
+    words = [re.findall(r"[^ \t\n\r\f\v]+", t.lower()) for t in text]
+    count = np.array([len(w) for w in words], np.int64)
+    if count.any():
+        word = pd.factorize(np.array([w for ws in words for w in ws], object))[0]
+        row = np.repeat(np.arange(n), count)
+        both = (row[1:] == row[:-1]) & (count[row[1:]] >= 3)
+        if both.any():
+            out = np.maximum(out, top(row[:-1][both], word[:-1][both], word[1:][both]))
+        same, times = np.unique((row.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64), return_counts=True)
+        again = np.bincount((same >> np.uint64(32)).astype(np.int64), np.where(times > 1, times, 0), n)
+        out = np.maximum(out, again / np.maximum(count, 1))
+    return pd.Series(np.where(size < 10, 0.0, out), index=texts.index)
 
 
 def url_ratio(text: Column) -> Column:
@@ -168,32 +194,34 @@ def url_ratio(text: Column) -> Column:
     return F.coalesce(F.try_divide(total, F.length(text)), F.lit(0.0))
 
 
-def promotion(text: Column, enough: int = 3) -> Column:
-    low = F.lower(text)
-    hits = sum((F.when(F.contains(low, F.lit(p)), 1).otherwise(0) for p in PROMO), F.lit(0))
+def promotion(low: Column, enough: int = 3) -> Column:
+    """low: the text in lower case."""
+    hits = sum((F.contains(low, F.lit(p)).cast("int") for p in PROMO), F.lit(0))
     return F.least(hits / enough, F.lit(1.0))
 
 
 def malformed(text: Column) -> Column:
-    """Mean of special, capital (texts over ten characters) and digit shares; no letters means no capitals."""
+    """Mean of special, capital (texts over ten characters) and digit shares; no letters means no capitals. Classes are counted by what is rare."""
     n = F.length(text)
-    special = F.least(2.0 * F.try_divide(F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]", "")), n), F.lit(1.0))
-    digits = F.least(2.0 * F.try_divide(F.length(F.regexp_replace(text, r"[^\p{Nd}]", "")), n), F.lit(1.0))
-    caps = F.coalesce(F.try_divide(F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")), F.length(F.regexp_replace(text, r"[^\p{L}]", ""))), F.lit(0.0))
+    many = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    special = F.least(2.0 * F.try_divide(many(r"[^\p{L}\p{N}\s]"), n), F.lit(1.0))
+    digits = F.least(2.0 * F.try_divide(many(r"\p{Nd}"), n), F.lit(1.0))
+    caps = F.coalesce(F.try_divide(many(r"\p{Lu}"), n - many(r"\P{L}")), F.lit(0.0))
     caps = F.when(caps > 0.7, caps).otherwise(0.0)
-    return F.when(n > 10, (special + caps + digits) / 3).otherwise((special + digits) / 2)
+    return F.coalesce(F.when(n > 10, (special + caps + digits) / 3).otherwise((special + digits) / 2), F.lit(0.0))
 
 
 def spam(posts: DataFrame, text: str = "text", author: str | None = None, order: list[str] | None = None, threshold: float = 0.6, most: int = 5, url_limit: float = 0.5) -> DataFrame:
     """Adds the five components, spam_score, is_spam and reasons. author with order: running count of the author's posts."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    body, low = F.col("_body"), F.col("_low")
     if author:
         count = F.row_number().over(Window.partitionBy(author).orderBy(*(order or [])))
-        frequency = F.when(F.col(author).isNotNull(), F.least(count / most, F.lit(1.0))).otherwise(0.0)
+        frequency = F.when(F.col(author).isNotNull() & (body != ""), F.least(count / most, F.lit(1.0))).otherwise(0.0)
     else:
         frequency = F.lit(0.0)
-    parts = {"repetition": repetition(body), "url_share": url_ratio(body), "promotion": promotion(body), "frequency": frequency, "malformed": malformed(body)}
-    out = posts.withColumns({k: F.when(body == "", 0.0).otherwise(v) for k, v in parts.items()})
+    parts = {"repetition": repetition(body), "url_share": url_ratio(body), "promotion": promotion(low), "frequency": frequency, "malformed": malformed(body)}
+    ready = posts.withColumn("_body", F.coalesce(F.col(text), F.lit(""))).withColumn("_low", F.lower("_body"))
+    out = ready.withColumns(parts).drop("_body", "_low")
     total = 0.3 * F.col("repetition") + 0.2 * F.col("url_share") + 0.3 * F.col("promotion") + 0.1 * F.col("frequency") + 0.1 * F.col("malformed")
     why = [("High repetition", "repetition", 0.5), ("Excessive URLs", "url_share", url_limit), ("Promotional content", "promotion", 0.5), ("High posting frequency", "frequency", 0.5), ("Malformed content", "malformed", 0.5)]
     reasons = F.array_compact(F.array(*[F.when(F.col(c) > limit, F.lit(name)) for name, c, limit in why]))
@@ -223,26 +251,29 @@ def scripts(text: Column) -> dict[str, Column]:
     return {"devanagari_count": deva, "latin_count": latin, "devanagari_ratio": share(deva), "latin_ratio": share(latin)}
 
 
-def hinglish_hits(text: Column, exclude: list[str] | None = None) -> Column:
-    vocabulary = F.array(*[F.lit(w) for w in HINGLISH if w not in (exclude or [])])
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])[a-z]+(?![\p{L}\p{N}_])"), F.lit(0))
-    return F.size(F.filter(found, lambda w: F.array_contains(vocabulary, w)))
+def hinglish(exclude: list[str] | None = None) -> str:
+    """The pattern of one transliterated word in lower-cased text."""
+    words = T.any_of([w for w in HINGLISH if w not in (exclude or [])])
+    return rf"(?<![\p{{L}}\p{{N}}_]){words}(?![\p{{L}}\p{{N}}_])"
 
 
 def detect_language(posts: DataFrame, text: str = "text", exclude: list[str] | None = None) -> DataFrame:
-    """language, language_confidence, is_hinglish, script by rules: scripts first, then transliterated words, then Latin as English."""
+    """language, language_confidence, is_hinglish, script by rules: scripts first, then two transliterated words, then Latin as English."""
     body = F.coalesce(F.col(text), F.lit(""))
-    deva, latin, short = body.rlike(DEVANAGARI), body.rlike(LATIN), F.length(F.trim(body)) < 3
-    mixed = hinglish_hits(body, exclude) >= 2
-    pick = lambda a, b, c, d, e, f: F.when(short, a).when(deva & latin, b).when(deva, c).when(latin & mixed, d).when(latin, e).otherwise(f)
-    return posts.withColumns(
+    word = hinglish(exclude)
+    deva, latin = body.rlike(DEVANAGARI), body.rlike(LATIN)
+    mixed = F.lower(body).rlike(f"(?s){word}.*?{word}")
+    kind = F.when(F.length(F.trim(body)) < 3, 0).when(deva & latin, 1).when(deva, 2).when(latin & mixed, 3).when(latin, 4).otherwise(0)
+    pick = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_kind") + 1)
+    found = posts.withColumn("_kind", kind).withColumns(
         {
-            "language": pick("unknown", "hi-en", "hi", "hi-en", "en", "unknown"),
-            "language_confidence": pick(0.0, 0.95, 0.95, 0.9, 0.5, 0.0),
-            "is_hinglish": pick(False, True, False, True, False, False),
-            "script": pick("unknown", "mixed", "devanagari", "latin", "latin", "unknown"),
+            "language": pick("unknown", "hi-en", "hi", "hi-en", "en"),
+            "language_confidence": pick(0.0, 0.95, 0.95, 0.9, 0.5),
+            "is_hinglish": pick(False, True, False, True, False),
+            "script": pick("unknown", "mixed", "devanagari", "latin", "latin"),
         }
     )
+    return found.drop("_kind")
 
 
 def in_languages(detected: DataFrame, languages: list[str], confidence: float = 0.0) -> DataFrame:
@@ -258,6 +289,12 @@ def term_counts(posts: DataFrame, key: str, words: Column) -> DataFrame:
     return rows.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
 
 
+def keyword_counts(posts: DataFrame, key: str, text: str, stop: list[str] = T.STOP_KEYWORDS) -> DataFrame:
+    """term_counts of keywords. Texts are dealt by key once, so that neither counts nor ranks by key shuffle again."""
+    rows = T.keyword_rows(posts.select(key, text).repartition(key), [F.col(key)], text, stop)
+    return rows.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+
+
 def top_terms(counts: DataFrame, key: str | None, k: int, *ties: str) -> DataFrame:
     """The k largest n of each key, ties by the columns given."""
     order = [F.desc("n"), *ties]
@@ -267,7 +304,7 @@ def top_terms(counts: DataFrame, key: str | None, k: int, *ties: str) -> DataFra
 
 
 def keywords(posts: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return top_terms(term_counts(posts, key, T.keywords(text)), key, k, "pos")
+    return top_terms(keyword_counts(posts, key, text), key, k, "pos")
 
 
 def corpus_keywords(posts: DataFrame, k: int = 10, per_post: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,7 +315,7 @@ def corpus_keywords(posts: DataFrame, k: int = 10, per_post: int = 10, key: str
 
 def tfidf(posts: DataFrame, k: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Words by summed tf * ln(N / df)."""
-    counts = term_counts(posts, key, T.keywords(text))
+    counts = keyword_counts(posts, key, text)
     total = posts.agg(F.count("*").alias("docs"))
     per = counts.groupBy("word").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
     scored = per.crossJoin(F.broadcast(total)).select("word", "tf", "df", (F.col("tf") * F.log(F.col("docs") / F.col("df"))).alias("score"))
