@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import other_queries, registry, text_queries, trend_queries
+from tidemark.plans import other_queries, registry, run_queries, text_queries, trend_queries
 
-MODULES = (trend_queries, text_queries, other_queries)
+MODULES = (trend_queries, text_queries, other_queries, run_queries)
 
 
 def queries() -> dict:

@@ -353,7 +353,10 @@ def parsed_schema(spark, sf):
     return extraction.parse_requirement(ask).select("name", "type")
 
 
-@plan(None)
+@plan(
+    "select p_partkey, 'a' as field, p_brand as value, 'FOUND' as status, 's' as snippet from part union all select p_partkey, 'b', 'bare', 'FOUND', null from part "
+    "union all select p_partkey, 'c', null, 'NOT_FOUND', null from part"
+)
 def decoded_answers(spark, sf):
     answer = F.concat(F.lit('```json\n{"a": {"value": "'), F.col("p_brand"), F.lit('", "status": "found", "source_snippet": "s"}, "b": "bare", "c": null}\n```'))
     return extraction.decode_answer(table(spark, sf, "part").select("p_partkey", answer.alias("answer"))).drop("answer")
@@ -374,7 +377,7 @@ def self_correction(spark, sf):
     return extraction.self_correct(cells(spark, sf), extraction.schema_frame(spark, FIELDS), fix, 1)
 
 
-@plan(None)
+@plan("select conv_id, turn, '{}' as answer, cast(length(coalesce(text, '')) // 4 as bigint) as input_tokens, cast(0 as bigint) as output_tokens, cast(1 as integer) as attempts, true as success from conversations")
 def completions(spark, sf):
     return providers.ask(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "text", providers.Offline).drop("text", "latency_ms")
 
