@@ -208,7 +208,7 @@ def malformed(text: Column) -> Column:
     digits = F.least(2.0 * F.try_divide(many(r"\p{Nd}"), n), F.lit(1.0))
     caps = F.coalesce(F.try_divide(many(r"\p{Lu}"), n - many(r"\P{L}")), F.lit(0.0))
     caps = F.when(caps > 0.7, caps).otherwise(0.0)
-    return F.coalesce(F.when(n > 10, (special + caps + digits) / 3).otherwise((special + digits) / 2), F.lit(0.0))
+    return F.when(n > 10, (special + caps + digits) / 3).when(n > 0, (special + digits) / 2).otherwise(0.0)
 
 
 def spam(posts: DataFrame, text: str = "text", author: str | None = None, order: list[str] | None = None, threshold: float = 0.6, most: int = 5, url_limit: float = 0.5) -> DataFrame:
