@@ -157,6 +157,23 @@ def test_exceptions_and_length():
     assert short[0] == long[0] and short[1] > long[1]
 
 
+def test_exceptions_are_learned_from_clean_texts(spark):
+    rng = random.Random(6)
+    filler = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(900):
+        w = [rng.choice(filler) for _ in range(20)]
+        toxic = i % 3 == 0
+        w[5:5] = ["grumpf", rng.choice(filler)] if toxic else ["grumpf", "cheese"] if i % 3 == 1 and i % 2 else []
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    model = toxicity.fit(frame(spark, rows).select("doc_id", "text"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    auto = model.automaton()
+    assert "grumpf cheese" in model.exceptions and any(t.startswith(" grum") for t in model.lexicon)
+    clean, bad = toxicity.scores(["a fine grumpf cheese here", "a fine grumpf of a man here"], model, auto)
+    assert clean < 0.3 < bad
+
+
 def test_toxicity_held_out(spark, sf, docs):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     held = toxicity.bucket("doc_id", 4) == 2

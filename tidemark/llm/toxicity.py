@@ -6,8 +6,9 @@ beginnings. Occurrences covered by an exception phrase don't count. A word count
 the sum of weights is normalised by the text's length, and a logistic curve turns both into a score from 0 to 1.
 
 The lexicon's weights are log odds learned from labelled texts: a bounded sample (`sample`, in the order of a hash of the id)
-of labelled rows, near copies counted once; one half learns the lexicon, the other fits the curve. Nothing but the text is an
-input of the score.
+of labelled rows, near copies counted once; one half learns the lexicon, the other fits the curve. Exception phrases are a few
+given ones and those learned from the first half: pairs of words round a lexicon word that `min_clean` clean texts or more have
+and no toxic one. Nothing but the text is an input of the score.
 
 Defined results: null and empty texts get the score of a text without matches; unlabelled documents are scored like others;
 repeated labels of one document count each; if no label of one kind exists, the score is the base rate; repeated rows give a
@@ -77,6 +78,14 @@ def terms(folded: str, shortest: int = 4, longest: int = 7) -> set[str]:
     return out
 
 
+def phrases(folded: str, auto: ahocorasick.Automaton) -> set[str]:
+    """Pairs of neighbouring words of which the lexicon has one."""
+    words = folded.split()
+    starts = np.cumsum([0] + [len(w) + 1 for w in words])
+    hit = {int(np.searchsorted(starts, end - size + 1)) for end, (size, _) in auto.iter(folded)} if len(auto) else set()
+    return {f"{words[i]} {words[i + 1]}" for k in hit for i in (k - 1, k) if 0 <= i < len(words) - 1}
+
+
 def near_key(folded: str) -> int:
     """One minimum over hashed five-word windows: near copies mostly agree."""
     w = folded.split()
@@ -150,7 +159,7 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return docs.join(F.broadcast(first), "doc_id").select("doc_id", "text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 24_000, entries: int = 4_000, min_docs: int = 4, min_z: float = 3.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 24_000, entries: int = 4_000, min_docs: int = 4, min_z: float = 3.0, min_clean: int = 8, exceptions: int = 1_000) -> Model:
     """Learn the lexicon and the curve. docs: doc_id, text; labels: doc_id, toxic (0 or 1)."""
 
     def folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +202,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 24_000, entries: int =
         z = odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
         top = counted.filter(F.col("pos") >= min_docs).withColumns({"w": odds, "z": z}).filter(F.col("z") >= min_z).orderBy(F.desc("z"), "term").limit(entries)
         model.lexicon = prune({r.term: r.w for r in top.collect()})
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            auto = Model(model.lexicon, ()).automaton()
+            for batch in batches:
+                found = [(p, int(y)) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in phrases(t, auto)]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([y for _, y in found], pa.int64())], names=["phrase", "toxic"])
+
+        met = once.filter(half).select("folded", "toxic").mapInArrow(meet, "phrase string, toxic long").groupBy("phrase").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+        harmless = met.filter((F.col("pos") == 0) & (F.col("neg") >= min_clean)).orderBy(F.desc("neg"), "phrase").limit(exceptions)
+        model.exceptions = (*EXCEPTIONS, *(r.phrase for r in harmless.collect()))
         names = ["f0", "f1", "f2", "f3"]
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
