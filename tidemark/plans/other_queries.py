@@ -312,7 +312,15 @@ def validation(spark, sf):
     return extraction.validation_summary(checked, "record_id").select("record_id", r("completeness"), r("validity"), F.col("errors").cast("int").alias("errors"), "is_valid")
 
 
-@plan(None)
+SIGNALS = """f as (select i, st, p_name, i - 50 as price, i % 12 as rating, case st when 'FOUND' then 1.0 when 'UNCERTAIN' then 0.5 else 0.0 end as sure from s),
+g as (select i as record_id, 'product_name' as name, 0.3 + 0.25 + 0.2 * case when length(p_name) > 50 then 0.9 when length(p_name) > 20 then 0.7 when length(p_name) > 5 then 0.5 when length(p_name) > 0 then 0.3 else 0 end + 0.15 + 0.1 as confidence from f
+union all select i, 'price', 0.3 + 0.25 * case when i % 11 = 0 or price < 0 then 0.1 else 1 end + 0.2 * 0.7 + 0.15 * case when i % 11 = 0 then 0.2 else 1 end + 0.1 * case when i % 11 <> 0 and price < 0 then 0.3 else 1 end from f
+union all select i, 'rating', case when st = 'NOT_FOUND' then 0 else 0.3 * sure + 0.25 * case when rating > 5 then 0.1 else 1 end + 0.15 + 0.1 * case when rating > 5 then 0.3 else 1 end end from f
+union all select i, 'availability', case when st = 'NOT_FOUND' then 0 else 0.3 * sure + 0.25 * case when i % 2 = 0 then 1 else 0.6 end + 0.2 * 0.3 + 0.15 + 0.1 end from f
+union all select i, 'link', 0 from f)"""
+
+
+@plan(f"with {CELLS}, {SIGNALS} select record_id, name, round(cast(confidence as double), 6) as confidence from g")
 def confidence_scores(spark, sf):
     checked = extraction.validate(extraction.grid(cells(spark, sf), extraction.schema_frame(spark, FIELDS)))
     return extraction.confidence(checked).select("record_id", "name", r("confidence"))

@@ -193,9 +193,12 @@ def spam_split(spark, sf):
     return posts.split_spam(posts.spam(docs(spark, sf).filter("text <> ''"), threshold=0.3))[1].select("doc_id")
 
 
-@plan(None)
+WHY = " ".join(f"|| case when {c} > 0.5 then '{name}; ' else '' end" for name, c in [("High repetition", "repetition"), ("Excessive URLs", "url_share"), ("Promotional content", "promotion"), ("High posting frequency", "frequency"), ("Malformed content", "malformed")])
+
+
+@plan(f"with {SPAM}, f as (select *, least(row_number() over (partition by source order by doc_id) / 5.0, 1) as frequency from spam) select doc_id, cast(frequency as double) as frequency, round(cast(spam_score + 0.1 * frequency as double), 6) as spam_score, rtrim('' {WHY}, '; ') as reasons from f")
 def spam_with_authors(spark, sf):
-    return posts.spam(docs(spark, sf), author="source", order=["doc_id"]).select("doc_id", "frequency", "spam_score", "reasons")
+    return posts.spam(docs(spark, sf), author="source", order=["doc_id"]).select("doc_id", "frequency", r("spam_score"), F.array_join("reasons", "; ").alias("reasons"))
 
 
 # Language -----------------------------------------------------------------------------------------------------------
@@ -315,7 +318,7 @@ def emotions(spark, sf):
     return asked.withColumn("m", providers.read_emotion("answer")).select("doc_id", "m.*", sentiment.dominant(F.col("m.intensities")).alias("dominant"))
 
 
-@plan(None)
+@plan(r"select 'MISC' as label, lower(e) as entity, count(*) as n from (select unnest(regexp_extract_all(text, '[a-z,;] ([A-Z][\p{L}\p{N}_]+(?: [A-Z][\p{L}\p{N}_]+)*)', 1)) as e from documents) group by 2")
 def entity_counts(spark, sf):
     return posts.entity_counts(providers.entities(docs(spark, sf)), by_label=True)
 
@@ -358,9 +361,22 @@ def text_similarity(spark, sf):
     return topics.mean_overlap(docs(spark, sf).withColumn("_w", T.words("text")), "source", "_w").select("source", r("overlap"))
 
 
-@plan(None)
+JACCARD = "avg(len(list_intersect(a.s, b.s)) * 1.0 / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))))"
+
+
+@plan(
+    f"with {COH}, s as (select c, word, count(*) as d from h group by 1, 2), p as (select x.c, x.word as a, y.word as b, count(*) as d2 from h x join h y on x.c = y.c and x.doc_id = y.doc_id and x.word < y.word group by 1, 2, 3), t as (select source as c, count(*) as docs from documents group by 1), "
+    "v as (select p.c, ln(d2 * 1.0 * docs / (sa.d * sb.d)) / -ln(d2 * 1.0 / docs) as v from p join s sa on sa.c = p.c and sa.word = a join s sb on sb.c = p.c and sb.word = b join t on t.c = p.c where d2 < docs), "
+    f"one as (select t.c, coalesce(avg(v), 0) as m from t left join v using (c) group by 1), w as (select source as c, doc_id, list_distinct({WORDS.format('text')}) as s from documents), "
+    f"two as (select a.c, {JACCARD} as m from w a join w b on a.c = b.c and a.doc_id < b.doc_id and len(a.s) > 0 and len(b.s) > 0 group by 1), "
+    "ew as (select c, doc_id, word, count(*) as n, min(pos) as pos from (select c, doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from b) group by 1, 2, 3), "
+    "ks as (select c, doc_id, list(word) as s from (select * from ew qualify row_number() over (partition by doc_id order by n desc, pos) <= 5) group by 1, 2), "
+    f"three as (select a.c, {JACCARD} as m from ks a join ks b on a.c = b.c and a.doc_id < b.doc_id group by 1), "
+    "z as (select (one.m + coalesce(two.m, 0) + coalesce(three.m, 0)) / 3 as x from one left join two using (c) left join three using (c)) "
+    "select round(avg(x), 6) as mean, round(median(x), 6) as median, round(min(x), 6) as min, round(max(x), 6) as max, round(stddev_pop(x), 6) as std from z"
+)
 def topic_coherence(spark, sf):
-    return topics.overall(topics.coherence(docs(spark, sf), "source"))
+    return topics.overall(topics.coherence(docs(spark, sf), "source")).select(*[r(c) for c in ("mean", "median", "min", "max", "std")])
 
 
 @plan(f"with {LAB}, x as (select count(distinct word) as u, count(*) as n, count(distinct lang) as t from k) select case when t < 2 then 1.0 else round(u * 1.0 / n, 6) end as diversity from x")
