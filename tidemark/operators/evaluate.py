@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import folder
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -57,18 +62,78 @@ def ndcg(rows: DataFrame, k: int = 10, by: list[str] | None = None, score: str =
     return rows.groupBy(*keys).agg(ratio(own, best).alias("ndcg"))
 
 
-def spearman(rows: DataFrame, a: str, b: str, tie: str) -> DataFrame:
-    """Correlation of ordinal ranks (no averaging), ties by the tie column."""
-    one = Window.partitionBy(F.lit(1))
-    ranked = rows.select(F.row_number().over(one.orderBy(a, tie)).alias("ra"), F.row_number().over(one.orderBy(b, tie)).alias("rb"))
-    return ranked.agg(F.corr("ra", "rb").alias("spearman"))
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their rank from 1 in this order: ranges are sorted each for itself, written, and added up by their sizes."""
+    spark, path = rows.sparkSession, folder(rows.sparkSession, "ranked")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id()).write.parquet(path)
+    back = spark.read.parquet(path).withColumns({"_p": F.shiftright("_i", 33), "_i": F.col("_i").bitwiseAND((1 << 33) - 1)})
+    sizes = back.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each partition
+    starts = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_o"))
+    return back.join(F.broadcast(starts), "_p").withColumn(name, F.col("_o") + F.col("_i") + 1).drop("_p", "_i", "_o")
 
 
-def kendall(rows: DataFrame, a: str, b: str, key: str) -> DataFrame:
-    """Kendall's tau (a) over all pairs; for rankings of a few thousand at most."""
-    x, y = rows.select(F.col(key).alias("k1"), F.col(a).alias("a1"), F.col(b).alias("b1")), rows.select(F.col(key).alias("k2"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    s = F.signum((F.col("a1") - F.col("a2")) * 1.0) * F.signum((F.col("b1") - F.col("b2")) * 1.0)
-    return x.join(F.broadcast(y), F.col("k1") < F.col("k2")).agg(F.coalesce(F.avg(s), F.lit(0.0)).alias("tau"))
+def spearman(rows: DataFrame, a: str, b: str, tie: str) -> DataFrame:
+    """Correlation of ordinal ranks (no averaging), ties by the tie column."""
+    plain = rows.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(tie).alias("t"))
+    return numbered(numbered(plain, ["a", "t"], "ra"), ["b", "t"], "rb").agg(F.corr("ra", "rb").alias("spearman"))
+
+
+def concordance(x: np.ndarray, y: np.ndarray) -> int:
+    """Pairs that x and y order alike less those they order unlike. Two ranks of x part at one highest bit: bit by bit, those with it are counted against those without."""
+    x, y = np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1]
+    width, total = int(y.max(initial=0)) + 1, 0
+    for bit in range(int(x.max(initial=0)).bit_length()):
+        key = (x >> (bit + 1)) * width + y
+        upper = (x >> bit) & 1 == 1
+        low = np.sort(key[~upper])
+        first = key[upper] - y[upper]
+        less, most = np.searchsorted(low, key[upper], "left"), np.searchsorted(low, key[upper], "right")
+        total += int((less - np.searchsorted(low, first, "left")).sum() - (np.searchsorted(low, first + width, "left") - most).sum())
+    return total
+
+
+def kendall(rows: DataFrame, a: str, b: str, key: str, block: int = 100_000) -> DataFrame:
+    """Kendall's tau (a) over all pairs, exact, without making them.
+
+    Both columns are cut at quantiles into ranges of about `block` rows (a thousand at most), each cut value a range of its own, so
+    that no frequent value fills one. Pairs apart in both ranges follow from the counts of range pairs; those that share a range
+    are counted within it by sorting. Pairs within one value of either column count nothing. Rows without either value are left out.
+    """
+    plain = rows.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).filter("a is not null and b is not null")
+    n = plain.count()
+    spark = rows.sparkSession
+    if n < 2:
+        return spark.createDataFrame([(0.0,)], "tau double")
+    parts = max(1, min(1000, n // block))
+    cuts = [sorted(set(c)) for c in plain.approxQuantile(["a", "b"], [i / parts for i in range(1, parts)], 1 / (4 * parts))] if parts > 1 else [[], []]
+
+    def placer(cut: list[float]):
+        def place(value: pd.Series) -> pd.Series:  # even: between cuts, odd: on one
+            return pd.Series((np.searchsorted(cut, value, "left") + np.searchsorted(cut, value, "right")).astype(np.int32))
+
+        return F.pandas_udf(place, "int")
+
+    marked = plain.withColumns({"i": placer(cuts[0])("a"), "j": placer(cuts[1])("b")})
+    grid = marked.groupBy("i", "j").agg(F.count("*").alias("n")).toArrow()  # ranges by ranges
+    apart = np.zeros((2 * parts + 1, 2 * parts + 1))
+    apart[grid["i"].to_numpy(), grid["j"].to_numpy()] = grid["n"].to_numpy()
+    below = apart.cumsum(0).cumsum(1)
+    left = np.zeros_like(apart)
+    left[1:, 1:] = below[:-1, :-1]  # smaller in both
+    right = np.zeros_like(apart)
+    right[1:, :] = below[:-1, -1:] - below[:-1, :]  # smaller in a, larger in b
+    total = float((apart * (left - right)).sum())
+
+    def within(x: str, y: str):
+        def work(table: pa.Table) -> pa.Table:
+            return pa.table({"s": pa.array([concordance(table[x].to_numpy(), table[y].to_numpy())], pa.int64())})
+
+        return work
+
+    same = marked.filter("i % 2 = 0").groupBy("i").applyInArrow(within("a", "b"), "s long")
+    other = marked.filter("j % 2 = 0").groupBy("j").applyInArrow(within("i", "b"), "s long")
+    near = same.union(other).agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"))
+    return near.select(((F.col("s") + F.lit(total)) / (n * (n - 1) / 2)).alias("tau"))
 
 
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -211,17 +211,28 @@ def malformed(text: Column) -> Column:
     return F.when(n > 10, (special + caps + digits) / 3).when(n > 0, (special + digits) / 2).otherwise(0.0)
 
 
+def author_frequency(posts: DataFrame, author: str, order: list[str], most: int = 5, name: str = "frequency") -> DataFrame:
+    """Adds min(place / most, 1), place being the post's among its author's in this order (equal ones share the last's); 0 without author.
+
+    Only each author's first `most` posts are ranked and met with the others, so that a frequent author's posts are never sorted together.
+    """
+    rank = F.row_number().over(Window.partitionBy(author).orderBy(*order))
+    early = posts.select(author, *[c for c in order if c != author]).filter(F.col(author).isNotNull()).withColumn("_r", rank).filter(F.col("_r") <= most)
+    firsts = early.groupBy(author).agg(F.collect_list(F.struct(*order)).alias("_firsts"))
+    place = F.size(F.filter("_firsts", lambda x: x <= F.struct(*order)))
+    return posts.join(firsts, author, "left").withColumn(name, F.when(F.col(author).isNotNull(), F.least(place / most, F.lit(1.0))).otherwise(0.0)).drop("_firsts")
+
+
 def spam(posts: DataFrame, text: str = "text", author: str | None = None, order: list[str] | None = None, threshold: float = 0.6, most: int = 5, url_limit: float = 0.5) -> DataFrame:
     """Adds the five components, spam_score, is_spam and reasons. author with order: running count of the author's posts."""
     body, low = F.col("_body"), F.col("_low")
+    had = posts.columns
     if author:
-        count = F.row_number().over(Window.partitionBy(author).orderBy(*(order or [])))
-        frequency = F.when(F.col(author).isNotNull() & (body != ""), F.least(count / most, F.lit(1.0))).otherwise(0.0)
-    else:
-        frequency = F.lit(0.0)
+        posts = author_frequency(posts, author, order or [], most, "_often")
+    frequency = F.when(body != "", F.col("_often")).otherwise(0.0) if author else F.lit(0.0)
     parts = {"repetition": repetition(body), "url_share": url_ratio(body), "promotion": promotion(low), "frequency": frequency, "malformed": malformed(body)}
     ready = posts.withColumn("_body", F.coalesce(F.col(text), F.lit(""))).withColumn("_low", F.lower("_body"))
-    out = ready.withColumns(parts).drop("_body", "_low")
+    out = ready.withColumns(parts).select(*had, *parts)
     total = 0.3 * F.col("repetition") + 0.2 * F.col("url_share") + 0.3 * F.col("promotion") + 0.1 * F.col("frequency") + 0.1 * F.col("malformed")
     why = [("High repetition", "repetition", 0.5), ("Excessive URLs", "url_share", url_limit), ("Promotional content", "promotion", 0.5), ("High posting frequency", "frequency", 0.5), ("Malformed content", "malformed", 0.5)]
     reasons = F.array_compact(F.array(*[F.when(F.col(c) > limit, F.lit(name)) for name, c, limit in why]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluate, forecast, temporal, trends
+from tidemark.operators import evaluate, forecast, posts, temporal, trends
 from tidemark.plans.registry import plan, table
 
 COLS = {"ts": "ts", "topic": "event_type", "author": "user_id"}
@@ -250,10 +250,7 @@ def batch_stats(spark, sf):
 
 @plan("select event_id, least(row_number() over (partition by user_id order by ts, event_id) / 5.0, 1.0) as frequency from events")
 def author_frequency(spark, sf):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return events(spark, sf).select("event_id", F.least(n / 5, F.lit(1.0)).alias("frequency"))
+    return posts.author_frequency(events(spark, sf), "user_id", ["ts", "event_id"]).select("event_id", "frequency")
 
 
 # Joins and engagement -----------------------------------------------------------------------------------------------
