@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import materialise, mix, slices, text_buffers
 
 SPAN, GRAM = 50, 16
+#: Text bytes whose windows are looked at together: a dozen numbers for each byte stand in memory meanwhile.
+SCAN_BYTES = 1 << 20
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -278,7 +280,7 @@ def crowded(source: DataFrame, span: int, probe: int, crowd: int) -> tuple[int,
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, SCAN_BYTES):
             total += int(np.sum(part.column(0).fill_null(0).to_numpy()))
             _, _, size, mini, seg, also, _ = segments(*text_buffers(part.column(1)), span)
             order, head, _ = classes(mini, seg, also, size, np.zeros(len(mini), np.int64))
@@ -331,13 +333,13 @@ def deduplicate(
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, SCAN_BYTES):
             data, offsets = text_buffers(part.column(1))
             row, start, size, mini, seg, also, side = segments(data, offsets, span)
             if len(row):
                 held.append((mini, seg, also, side, part.column(0).to_numpy()[row], start, size))
                 n += len(row)
-            if n > 1_200_000:
+            if n > 800_000:
                 yield from flush(held)
                 held, n = [], 0
         if held:
