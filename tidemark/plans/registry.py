@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.scratch import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Tables of texts, whose rows cost far more to work on than to move.
+TEXTS = {"documents", "pages"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    found = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(found) if name in TEXTS else found
 
 
 def plan(sql: str | None):

@@ -1,11 +1,11 @@
-"""A folder for what a query writes and reads back."""
+"""A folder for what a query writes and reads back; small tables dealt to all cores."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
@@ -20,3 +20,13 @@ def folder(spark: SparkSession, name: str) -> str:
             _OWN.append(tempfile.mkdtemp(prefix="tidemark-"))
         named = _OWN[0]
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores, dealt row by row to all cores; any other as it lies, without a shuffle.
+
+    A split holds 128 MB at most, so that the bytes moved are bounded by the cores and don't grow with the data. A file with a
+    single row group is one task's work however many splits it has.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
