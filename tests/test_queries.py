@@ -9,7 +9,6 @@ from tidemark.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"silhouette_exact", "spam_score", "spam_stats", "spam_split", "text_similarity"}
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +25,7 @@ def plain(frame) -> list:
     return sorted((tuple(cell(v) for v in row) for row in frame.astype(object).where(frame.notna(), None).values.tolist()), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_matches_sql(spark, duck, name):
     got = catalogue.queries()[name](spark, SMALL).toPandas()
     want = duck.execute(catalogue.oracle_sql()[name]).df()
