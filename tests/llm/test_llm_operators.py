@@ -574,6 +574,30 @@ def test_suffix_dedup_keeps_many_unlike_texts_round_one_string(spark, crowd):
     assert gone == n - len(set(texts)) == 0
 
 
+@pytest.mark.parametrize("options", [{"many": 20}, {"many": 20, "crowd": 1}])
+def test_suffix_dedup_splits_no_windows_where_sides_divide_a_minimiser(spark, monkeypatch, options):
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    text = lambda n: bytes(letters[rng.integers(0, 26, n)]).decode()
+    core = "ruavmnqhzbhjokdb"
+    while len({*suffix_dedup.segments(*common.text_buffers(pa.array([text(20) + core + text(20) for _ in range(40)])))[3].tolist()}) > 20:
+        core = text(16)
+    left, right = [text(17) for _ in range(40)], [text(18) for _ in range(40)]
+    rows = [(4 * k + i, (text(9) + left[k] if i < 2 else text(26)) + core + (right[k] if i % 2 == 0 else text(18)) + text(5)) for k in range(40) for i in range(4)]
+    rows += [(1000 + k, rows[4 * k][1][5:60] + text(9)) for k in range(40)]
+    tables, was = [], suffix_dedup.materialise
+    monkeypatch.setattr(suffix_dedup, "materialise", lambda df, name: tables.append(was(df, name)) or tables[-1])
+    got = sorted(tuple(r) for r in suffix_dedup.deduplicate(frame(spark, rows), **options).collect())
+    assert got == brute_removal(rows) and sum(r[2] > 0 for r in got) >= 40
+    kinds = [r.kind for r in tables[0].collect()]
+    assert kinds.count(1) >= 40 and kinds.count(2) == 0
+
+
+def test_suffix_dedup_compares_no_row_that_is_alone():
+    for keys, want in (([], []), ([4], [0]), ([4, 5], [0, 0]), ([4, 4, 5, 6, 6, 7], [0, 0, 1, 0, 0, 0]), ([1, 2, 3, 4], [0, 1, 1, 0])):
+        assert suffix_dedup.alone(np.array(keys, np.int64)).tolist() == [bool(x) for x in want]
+
+
 def test_segment_hashes_follow_the_bytes():
     rng = np.random.default_rng(8)
     data = rng.integers(0, 3, 4000).astype(np.uint8)

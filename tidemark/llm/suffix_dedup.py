@@ -8,13 +8,16 @@ windows therefore lie in segments with equal minimisers, so that comparing segme
 Segments with equal bytes (minimiser, 128-bit hash and size) form a class, whose smallest document keeps it. Classes that share
 a minimiser and the bytes next to it on one side, as all that share a window do, go to a suffix array: their bytes are laid end to end; only suffixes smaller than their successors are sorted
 directly; one scan over the buckets of first bytes induces the rest; common prefixes of neighbours in the array join equal
-windows, and each window whose smallest document is another goes. A minimiser with more than `many` classes is split into its
-windows, dealt by their own hash.
+windows, and each window whose smallest document is another goes. A minimiser with more than `many` classes is divided by the
+bytes on its left and, once more, by those on its right: all that share a window are together in one of the two groups. Only
+groups that then still have more than `many` classes are split into windows, dealt by their own hash.
 
-Hot groups: a minimiser that (by a scan of about `probe_bytes` of text, which only plans the dealing and decides nothing) has
-more than `crowd` classes is dealt by segment instead, and all its classes are split into windows. Equal segments within a task,
+Hot groups: a minimiser that (by a scan of the texts of about `probe` documents, which only plans the dealing and decides
+nothing) has more than `crowd` classes is divided in that way before it is dealt. A group that then still has more than `crowd`
+is dealt by segment, and all its classes are split into windows. Equal segments within a task,
 and equal windows of split classes within a task (by their bytes), are combined before the shuffle; windows arrive in the order
-of documents and are compared in bounded runs that carry the smallest document's along.
+of documents and are compared in bounded runs that carry the smallest document's along. A row whose key no other row has can
+equal none and stays out of the suffix array.
 
 Ids and positions, not texts, are shuffled to find classes; texts are dealt once, by document.
 
@@ -99,6 +102,14 @@ def sides(eight: np.ndarray, first: np.ndarray, end: np.ndarray, at: np.ndarray,
     return (out[0] << np.uint64(32)) | out[1]
 
 
+def ways(mini: np.ndarray, side: np.ndarray) -> list[np.ndarray]:
+    """Keys of minimisers with the bytes on their left, and with those on their right; 0 where the segment ends before."""
+    out = []
+    for k, half in enumerate((side >> np.uint64(32), side & np.uint64(0xFFFFFFFF))):
+        out.append(np.where(half != 0, mix(mini ^ mix(half | np.uint64((k + 1) << 32))) | np.uint64(1), np.uint64(0)))
+    return out
+
+
 def met(mini: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which entries share minimiser and (not empty) side with an entry of another document."""
     out = np.zeros(len(mini), bool)
@@ -140,11 +151,9 @@ def classes(mini: np.ndarray, seg: np.ndarray, also: np.ndarray, size: np.ndarra
 
 
 def pack(mini, seg, also, side, doc, start, size) -> bytes:
-    """Entries column by column, so that the shuffle's compression finds the small numbers."""
-    order = np.lexsort((start, doc))
-    doc = doc[order]
+    """Entries in the order of documents, column by column, so that the shuffle's compression finds the small numbers."""
     step = np.diff(doc, prepend=doc[:1])
-    return b"".join([np.array([len(order), doc[0]], np.int64).tobytes(), mini[order].tobytes(), seg[order].tobytes(), also[order].tobytes(), side[order].tobytes(), step.tobytes(), start[order].astype(np.uint32).tobytes(), size[order].astype(np.uint8).tobytes()])
+    return b"".join([np.array([len(doc), doc[0]], np.int64).tobytes(), mini.tobytes(), seg.tobytes(), also.tobytes(), side.tobytes(), step.tobytes(), start.astype(np.uint32).tobytes(), size.astype(np.uint8).tobytes()])
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, ...]:
@@ -271,29 +280,40 @@ def repeated(pieces: list[bytes], docs: np.ndarray, groups: np.ndarray, span: in
 
 
 def crowded(source: DataFrame, span: int, probe: int, crowd: int) -> tuple[int, np.ndarray]:
-    """Bytes of all texts, and (sorted) minimisers that probably have more than `crowd` classes.
+    """Bytes of all texts, and (sorted) minimisers that probably have more than `crowd` classes, with those of their ways that do.
 
     One scan: all texts are measured; those of about `probe` documents, chosen by a hash of the id, show how classes spread. At
-    most one minimiser for each eight segments of these documents comes to the driver.
+    most one minimiser for each eight segments of these documents comes to the driver. If there are any, another scan of the
+    chosen documents counts the classes of their ways, of which at most two for each eight segments come.
     """
     rate = min(1.0, probe / max(1, source.count()))
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch], hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         total = 0
         for part in slices(batches, 1, SCAN_BYTES):
             total += int(np.sum(part.column(0).fill_null(0).to_numpy()))
-            _, _, size, mini, seg, also, _ = segments(*text_buffers(part.column(1)), span)
+            _, _, size, mini, seg, also, side = segments(*text_buffers(part.column(1)), span)
             order, head, _ = classes(mini, seg, also, size, np.zeros(len(mini), np.int64))
-            found, n = np.unique(mini[order[head]], return_counts=True)
+            keys, side = mini[order[head]], side[order[head]]
+            if hot is not None:
+                of = among(keys, hot)
+                keys = np.concatenate(ways(keys[of], side[of]))
+            found, n = np.unique(keys[keys != 0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["mini", "n"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], names=["mini", "n"])
 
+    def count(texts: DataFrame, hot: np.ndarray | None = None) -> tuple[int, np.ndarray]:
+        many = texts.mapInArrow(lambda batches: look(batches, hot), "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n")).filter(F.col("mini").isNull() | (F.col("n") > max(8, crowd * rate))).toArrow()
+        mini, n = many["mini"].combine_chunks(), many["n"].to_numpy()
+        none = mini.is_null().to_numpy(zero_copy_only=False)
+        return int(n[none].sum()), np.sort(mini.drop_null().to_numpy().view(np.uint64))
+
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30))
     seen = source.select(F.octet_length("text").cast("long").alias("n"), F.when(chosen, F.col("text")).alias("text"))
-    many = seen.mapInArrow(look, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n")).filter(F.col("mini").isNull() | (F.col("n") > max(8, crowd * rate))).toArrow()
-    mini, n = many["mini"].combine_chunks(), many["n"].to_numpy()
-    none = mini.is_null().to_numpy(zero_copy_only=False)
-    return int(n[none].sum()), np.sort(mini.drop_null().to_numpy().view(np.uint64))
+    total, hot = count(seen)
+    if len(hot):
+        hot = np.union1d(hot, count(source.filter(chosen).select(F.lit(0).cast("long").alias("n"), "text"), hot)[1])
+    return total, hot
 
 
 def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -303,6 +323,13 @@ def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
+def alone(keys: np.ndarray) -> np.ndarray:
+    """Which of a batch's ordered keys have one row in all; the batch's first and last may go on in others and never count."""
+    out = np.zeros(len(keys), bool)
+    out[1:-1] = (keys[1:-1] != keys[:-2]) & (keys[1:-1] != keys[2:])
+    return out
+
+
 def deduplicate(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, many: int = 4000, part_bytes: int = 16 << 20, probe: int = 32_000, crowd: int = 100_000, run_bytes: int = 1 << 20
 ) -> DataFrame:
@@ -317,19 +344,31 @@ def deduplicate(
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         mini, seg, also, side, doc, start, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order, _, keep = classes(mini, seg, also, size, doc)
         gone, order = order[~keep], order[keep]
         if len(gone):
             m = len(gone)
             yield pa.RecordBatch.from_arrays([pa.array((doc[gone] % buckets).astype(np.int32)), pa.nulls(m, pa.binary()), pa.array(doc[gone]), pa.array(start[gone]), pa.array(size[gone])], names=names)
-        home = ((np.where(among(mini, hot), seg, mini) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)[order]
-        order = order[np.argsort(home, kind="stable")]
-        home = np.sort(home, kind="stable")
+        mini = mini[order]
+        of = among(mini, hot)
+        if of.any():
+            both = ways(mini[of], side[order[of]])
+            order = np.concatenate([order[~of], *(order[of][key != 0] for key in both)])
+            mini = np.concatenate([mini[~of], *(key[key != 0] for key in both)])
+        home = ((np.where(among(mini, hot), seg[order], mini) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+        sort = np.lexsort((start[order], doc[order], home))
+        order, mini, home = order[sort], mini[sort], home[sort]
         edge = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
-        for a, b in zip(edge, np.append(edge[1:], len(home)), strict=True):
+        blobs, first, full = [], 0, 0  # blobs go in batches: one for each bucket and flush would cost the square of the input
+        for k, (a, b) in enumerate(zip(edge, np.append(edge[1:], len(home)), strict=True)):
             i = order[a:b]
-            blob = pa.array([pack(mini[i], seg[i], also[i], side[i], doc[i], start[i], size[i])], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(home[a : a + 1]), blob, *[pa.nulls(1, pa.int64())] * 3], names=names)
+            blobs.append(pack(mini[a:b], seg[i], also[i], side[i], doc[i], start[i], size[i]))
+            full += len(blobs[-1])
+            if full > SCAN_BYTES or k == len(edge) - 1:
+                n = len(blobs)
+                yield pa.RecordBatch.from_arrays([pa.array(home[edge[first : k + 1]]), pa.array(blobs, pa.binary()), *[pa.nulls(n, pa.int64())] * 3], names=names)
+                blobs, first, full = [], k + 1, 0
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -363,7 +402,20 @@ def deduplicate(
         if not len(ask):
             return
         _, group, size_of = np.unique(of_mini[ask], return_inverse=True, return_counts=True)
-        kind = np.where((size_of[group] > many) | dealt[ask], 2, 1).astype(np.int32)
+        large = (size_of[group] > many) & ~dealt[ask]
+        split = dealt
+        small = ask[~large & ~dealt[ask]]
+        asks = [(of_mini[small], small)]
+        apart = ask[large]
+        for key in ways(of_mini[apart], of_side[apart]):
+            _, group, size_of = np.unique(key, return_inverse=True, return_counts=True)
+            n = np.where(key != 0, size_of[group], 0)
+            asks.append((key[(n > 1) & (n <= many)], apart[(n > 1) & (n <= many)]))
+            split[apart[n > many]] = True
+        windows = np.flatnonzero(split)
+        kind = np.repeat(np.array([1, 2], np.int32), [sum(len(c) for _, c in asks), len(windows)])
+        key, which = (np.concatenate(x) for x in zip(*asks, (of_mini[windows], windows), strict=True))
+        ask, back = np.unique(which, return_inverse=True)
         upto = np.append(head[1:], len(order))
         kept = np.concatenate([[0], np.cumsum(keep)])
         mine = order[keep]
@@ -372,9 +424,10 @@ def deduplicate(
         for c in ask:
             i = mine[kept[head[c]] : kept[upto[c]]]
             others.append(np.unique(start[i])[1:].tobytes() if len(i) > 1 else None)
-        first_start = [int(start[mine[kept[head[c]] : kept[upto[c]]]].min()) if o is not None else int(start[f]) for c, f, o in zip(ask, firsts, others, strict=True)]
+        first_start = np.array([int(start[mine[kept[head[c]] : kept[upto[c]]]].min()) if o is not None else int(start[f]) for c, f, o in zip(ask, firsts, others, strict=True)], np.int64)
+        firsts = firsts[back]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(kind), pa.array(mini[firsts].view(np.int64)), pa.array(doc[firsts]), pa.array(first_start, pa.int64()), pa.array(size[firsts]), pa.array(others, pa.binary())],
+            [pa.array(kind), pa.array(key.view(np.int64)), pa.array(doc[firsts]), pa.array(first_start[back]), pa.array(size[firsts]), pa.array(others, pa.binary()).take(pa.array(back))],
             names=outs,
         )
 
@@ -444,6 +497,7 @@ def deduplicate(
             if loose.num_rows:
                 yield pa.RecordBatch.from_arrays([loose.column(1), loose.column(2), pa.array(np.full(loose.num_rows, span))], names=["doc_id", "start", "size"])
             batch = batch.filter(batch.column(0).is_valid())
+            batch = batch.filter(pa.array(~alone(batch.column(0).to_numpy())))
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 same = bool(rows) and row[0] == rows[-1][0]
                 if group > most if same else size > run_bytes:
