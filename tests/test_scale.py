@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import vectors
+from tidemark.sources import posts as P
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +87,14 @@ def test_hash_embedding_reads_tokens_once(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     found = {r.i: r.e for r in got.collect()}
     assert abs(sum(x * x for x in found[1]) - 1) < 1e-9 and found[2] == [0.0] * 4 and not any(found[3] or [])
+
+
+def test_posts_keep_texts_and_authors_as_they_are(spark):
+    texts = [" two  spaces ", "", "   ", None, "plain\n"]
+    raw = spark.createDataFrame([(i, t, " me ") for i, t in enumerate(texts)], "id long, content string, username string")
+    mapped = P.to_posts(raw)
+    assert {int(r.post_id): r.text for r in mapped.collect()} == dict(enumerate(texts))
+    assert {int(r.post_id): r.text for r in P.from_json_rows(P.to_json_rows(mapped)).collect()} == dict(enumerate(texts))
+    assert {r.author_id_hash for r in mapped.collect()} == {hashlib.sha256(b" me ").hexdigest()[:16]}
+    other = spark.createDataFrame([(" ", "b")], "text string, content string")
+    assert P.to_posts(other).first().text == "b"

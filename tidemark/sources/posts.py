@@ -27,6 +27,12 @@ def pick(df: DataFrame, names: list[str]) -> Column:
     return F.coalesce(*have, F.lit(None).cast("string"))
 
 
+def as_given(df: DataFrame, names: list[str]) -> Column:
+    """The first of the columns that is more than spaces, as it stands; without one, the first that is not null."""
+    have = [F.col(f"`{n}`").cast("string") for n in names if n in df.columns]
+    return F.coalesce(*[F.when(F.trim(c) != "", c) for c in have], *have, F.lit(None).cast("string"))
+
+
 def words_of(df: DataFrame, name: str) -> Column:
     """An array column as it is, or a comma-separated string split and trimmed."""
     if name not in df.columns:
@@ -38,8 +44,8 @@ def words_of(df: DataFrame, name: str) -> Column:
 
 
 def to_posts(raw: DataFrame, platform: str | None = None) -> DataFrame:
-    """Raw columns under any alias to the post schema. A row's own platform wins; the given one fills in."""
-    text = pick(raw, ALIASES["text"])
+    """Raw columns under any alias to the post schema, texts and authors unchanged. A row's own platform wins; the given one fills in."""
+    text = as_given(raw, ALIASES["text"])
     times = [F.try_to_timestamp(F.nullif(F.trim(F.col(f"`{n}`").cast("string")), F.lit(""))) for n in ALIASES["timestamp"] if n in raw.columns]
     nested = dict(raw.dtypes).get("engagement", "").startswith("struct")
     fields = raw.select("engagement.*").columns if nested else []
@@ -57,7 +63,7 @@ def to_posts(raw: DataFrame, platform: str | None = None) -> DataFrame:
         F.when(kind.isNull(), F.lit(platform or "unknown")).when(kind.isin(PLATFORMS), kind).otherwise("unknown").alias("platform"),
         F.coalesce(*times, F.lit(None).cast("timestamp")).alias("timestamp"),
         text.alias("text"),
-        F.substring(F.sha2(pick(raw, ALIASES["author"]), 256), 1, 16).alias("author_id_hash"),
+        F.substring(F.sha2(as_given(raw, ALIASES["author"]), 256), 1, 16).alias("author_id_hash"),
         pick(raw, ["language"]).alias("language"),
         pick(raw, ["url"]).alias("url"),
         words_of(raw, "hashtags").alias("hashtags"),
