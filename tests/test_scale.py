@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import vectors
 from tidemark.sources import posts as P
+from tidemark.streaming import jobs
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +100,27 @@ def test_posts_keep_texts_and_authors_as_they_are(spark):
     assert {r.author_id_hash for r in mapped.collect()} == {hashlib.sha256(b" me ").hexdigest()[:16]}
     other = spark.createDataFrame([(" ", "b")], "text string, content string")
     assert P.to_posts(other).first().text == "b"
+
+
+def test_json_arrays_are_bounded_and_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{i:04d}", f' say "{i}"\n' * 5, 3) for i in range(500)] + [("0007", "again", 3)] * 100, "post_id string, text string, likes int").repartition(4)
+    posts = P.to_posts(rows)
+    P.write_json_array(posts, str(tmp_path / "many"), most=20_000)
+    parts = sorted((tmp_path / "many").glob("part-*"))
+    arrays = [json.loads(p.read_text()) for p in parts]
+    assert len(parts) > 4 and max(p.stat().st_size for p in parts) < 60_000
+    ids = [x["post_id"] for a in arrays for x in a]
+    assert len(ids) == 600 and ids == sorted(ids)
+    back = P.to_posts(P.read_json(spark, str(tmp_path / "many")))
+    assert sorted((r.post_id, r.text) for r in back.collect()) == sorted((r.post_id, r.text) for r in posts.collect())
+    P.write_json_array(posts.limit(0), str(tmp_path / "none"))
+    assert [json.loads(p.read_text()) for p in (tmp_path / "none").glob("part-*")] == [[]]
+    P.write_csv(posts, str(tmp_path / "csv"))
+    assert sorted(r.text for r in P.read_csv(spark, str(tmp_path / "csv")).collect()) == sorted(r.text for r in posts.collect())
+
+
+def test_streams_of_rows_leave_the_driver(spark, sf):
+    events = jobs.read_stream(spark, f"{sf}/events.parquet*", spark.read.parquet(f"{sf}/events.parquet").schema)
+    out = jobs.run_once(jobs.author_frequency(events), "rows_of_authors")
+    assert "LocalTableScan" not in out._jdf.queryExecution().optimizedPlan().toString() and "MemoryPlan" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 10_000 and out.inputFiles()

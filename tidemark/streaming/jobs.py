@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import text as T
+from tidemark.sources.scratch import folder
 
 
 def read_stream(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
@@ -61,11 +62,21 @@ def author_frequency(events: DataFrame, author: str = "user_id", key: str = "eve
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Drive a stream to the end of its input into a memory table (for tests and small results)."""
+    """Drive a stream to the end of its input: new rows into Parquet in the shared folder, whole results (small ones) into a memory table."""
+    spark = stream.sparkSession
+    if mode == "append":
+        path = folder(spark, name)
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint or f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+        try:
+            return spark.read.schema(stream.schema).parquet(path)
+        except Exception as e:  # no input, no file
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], stream.schema)
     writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.table(name)
 
 
 def write_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
