@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -219,18 +223,35 @@ def flat(posts: DataFrame) -> DataFrame:
 
 
 def write_csv(posts: DataFrame, path: str) -> None:
-    flat(posts).write.mode("overwrite").csv(path, header=True, escape='"')
+    flat(posts).write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_jsonl(posts: DataFrame, path: str) -> None:
     posts.write.mode("overwrite").json(path)
 
 
-def write_json_array(posts: DataFrame, path: str) -> None:
-    """One array in order of post_id. All posts pass through one task: for reports, not for corpora; write_jsonl() scales."""
-    rows = posts.select("post_id", F.to_json(F.struct("*")).alias("j")).coalesce(1).sortWithinPartitions("post_id")
-    text = rows.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("post_id", "j"))), lambda x: x["j"]), ","), F.lit("]")).alias("value"))
-    text.write.mode("overwrite").text(path)
+def write_json_array(posts: DataFrame, path: str, most: int = 16 << 20) -> None:
+    """Arrays in order of post_id: one up to `most` bytes, else a file with one array for each range of ids of about that size.
+
+    A reader of arrays holds one whole, so that a file's size bounds its memory; rows are written as they come.
+    """
+    rows = posts.select("post_id", F.to_json(F.struct("*")).alias("j"))
+    total = rows.agg(F.sum(F.octet_length("j"))).first()[0] or 0
+    if not total:
+        posts.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    ranged = rows.repartitionByRange(-(-total // most), "post_id", F.xxhash64("j")) if total > most else rows.coalesce(1)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            if batch.num_rows:
+                heads = pa.array([lead] + [","] * (batch.num_rows - 1))
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(heads, batch.column(0), "")], ["value"])
+                lead = ","
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if lead == "[" else "]"]})
+
+    ranged.sortWithinPartitions("post_id").select("j").mapInArrow(lines, "value string").write.mode("overwrite").text(path)
 
 
 def report(values: dict, spark: SparkSession, path: str) -> None:
