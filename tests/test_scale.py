@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import vectors
+from tidemark.operators import topics, vectors
 from tidemark.sources import posts as P
 from tidemark.streaming import jobs
 
@@ -124,3 +124,16 @@ def test_streams_of_rows_leave_the_driver(spark, sf):
     out = jobs.run_once(jobs.author_frequency(events), "rows_of_authors")
     assert "LocalTableScan" not in out._jdf.queryExecution().optimizedPlan().toString() and "MemoryPlan" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.count() == 10_000 and out.inputFiles()
+
+
+def test_mean_overlap_compares_blocks_as_matrices(spark):
+    rng = np.random.default_rng(5)
+    sets = [("a" if i % 3 else "b", i, [f"w{int(w)}" for w in rng.zipf(1.3, 40) % 300]) for i in range(900)] + [("one", 1000, ["x"]), ("b", 1001, [])]
+    found = topics.mean_overlap(spark.createDataFrame(sets, "c string, doc_id long, ws array<string>"), "c", "ws", most=100)
+    assert "array_union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.c: r.overlap for r in found.collect()}
+    for c in "ab":
+        own = [set(w) for k, _, w in sets if k == c and w]
+        want = np.mean([len(x & y) / len(x | y) for i, x in enumerate(own) for y in own[i + 1 :]])
+        assert abs(got[c] - want) < 1e-9
+    assert got["one"] == 0.0
