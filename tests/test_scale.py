@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import posts as O
 from tidemark.operators import topics, vectors
 from tidemark.sources import posts as P
 from tidemark.streaming import jobs
@@ -137,3 +138,20 @@ def test_mean_overlap_compares_blocks_as_matrices(spark):
         want = np.mean([len(x & y) / len(x | y) for i, x in enumerate(own) for y in own[i + 1 :]])
         assert abs(got[c] - want) < 1e-9
     assert got["one"] == 0.0
+
+
+def test_repetition_counts_in_slices(monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = np.array(["".join(rng.choice(list("ab c"), int(n))) for n in rng.integers(0, 90, 200)], object)
+    whole, sizes, work = O.repeated(texts), [], O.repeated
+    monkeypatch.setattr(O, "CHARACTERS", 300)
+    monkeypatch.setattr(O, "repeated", lambda t: sizes.append(sum(map(len, t))) or work(t))
+    got = O.repetition.__wrapped__(pd.Series([None if t == "" else t for t in texts], index=range(5, 205)))
+    assert np.array_equal(got.to_numpy(), whole) and list(got.index) == list(range(5, 205)) and max(sizes) <= 300
+
+
+def test_keywords_are_counted_where_texts_are_read(spark):
+    rows = spark.createDataFrame([(1, "Zeta beta zeta by alpha, beta gamma"), (2, ""), (3, None), (4, "for the")], "doc_id long, text string")
+    found = O.keywords(rows, 3)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.doc_id, r.word, r.n, r["rank"]) for r in found.collect()] == [(1, "zeta", 2, 1), (1, "beta", 2, 2), (1, "alpha", 1, 3)]
