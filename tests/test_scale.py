@@ -155,3 +155,15 @@ def test_keywords_are_counted_where_texts_are_read(spark):
     found = O.keywords(rows, 3)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert [(r.doc_id, r.word, r.n, r["rank"]) for r in found.collect()] == [(1, "zeta", 2, 1), (1, "beta", 2, 2), (1, "alpha", 1, 3)]
+
+
+def test_minhash_pairs_meet_in_buckets_of_many_values(spark):
+    rng = np.random.default_rng(11)
+    base = [rng.choice(500, 60, replace=False) for _ in range(60)]
+    sets = [set(np.concatenate([b[:56], rng.choice(range(500, 900), 4)]).tolist()) for b in base for _ in range(3)]
+    rows = [(i, " ".join(f"w{w}" for w in s)) for i, s in enumerate(sets)] + [(1000 + i, " ".join(f"w{w}" for w in sets[0])) for i in range(300)] + [(2000, ""), (2001, None)]
+    found = O.minhash_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 0.2).collect()
+    got = {(r.id_a, r.id_b): r.distance for r in found}
+    want = {(i, j): 1 - len(x & y) / len(x | y) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and 1 - len(x & y) / len(x | y) < 0.2}
+    assert len(found) == len(got) and got.keys() <= want.keys() and len(got) >= 0.9 * len(want) > 100
+    assert all(abs(got[p] - want[p]) < 1e-12 for p in got)
